@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, neardup, packing, quality, sharding
+from . import decontam, lines, lmscore, neardup, packing, quality, sharding, suffixes
 from .common import table
 
 
@@ -39,6 +39,15 @@ def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, sf_dir, "documents"), depth=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high"
@@ -52,10 +61,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_sort": op3_suffix_sort,
     "op4_quality": op4_quality,
     "op5_line_templates": op5_line_templates,
     "op8_histogram_sort": op8_histogram_sort,
     "op9_simhash": op9_simhash,
+    "op10_elias_fano": op10_elias_fano,
 }
 
 ORACLE: dict[str, str] = {}
