@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, lmscore, neardup, packing, quality, sharding, suffixes
-from .common import table
+from . import decontam, lines, lmscore, neardup, packing, quality, sharding, suffixes, tokens, warc
+from .common import Scratch, table
 
 
 def tokenizer(name: str) -> str:
@@ -48,6 +48,16 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scored(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = Scratch(spark, "archives").path("pages")
+    warc.write(table(spark, sf_dir, "pages"), at, least=1000)
+    return warc.read(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high"
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_sort": op3_suffix_sort,
     "op4_quality": op4_quality,
     "op5_line_templates": op5_line_templates,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_histogram_sort": op8_histogram_sort,
     "op9_simhash": op9_simhash,
     "op10_elias_fano": op10_elias_fano,
