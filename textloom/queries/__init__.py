@@ -4,7 +4,7 @@ import importlib
 
 from ..registry import ORACLE, QUERIES
 
-MODULES = ("texts", "data", "metrics")
+MODULES = ("texts", "data", "metrics", "files", "learning")
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")
 

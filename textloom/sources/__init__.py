@@ -1,0 +1,15 @@
+"""Readers and writers."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, or in a temporary one
+    where the cluster names none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-textloom-")
+    return f"{root.rstrip('/')}/textloom-{name}-{uuid.uuid4().hex[:12]}"
