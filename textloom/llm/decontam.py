@@ -40,17 +40,27 @@ from .common import Scratch
 
 RADIUS, BLOCKS = 23, 8
 REMEMBER = 500_000
+#: Texts that are looked up together.
+TEXTS = 256
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
-def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """One 64-bit hash per word, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(known) > REMEMBER:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
+class Known(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hashes(words: list[bytes], known: Known) -> np.ndarray:
+    """One 64-bit hash per word."""
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -85,10 +95,10 @@ class Index:
     """Items of one block: shingle counts, fingerprints and the multi-index."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        known: dict[bytes, int] = {}
+        known = Known()
         self.ids, self.sizes, self.counts, prints = [], [], [], []
         for item, text in items:
-            if not len(words := word_hashes(text, known)):
+            if not len(words := word_hashes(split(text), known)):
                 continue
             own = shingles(words, min(width, len(words)))
             self.ids.append(item)
@@ -112,6 +122,25 @@ class Index:
         return [i for i in found if (int(self.prints[i]) ^ print_).bit_count() <= RADIUS]
 
 
+def with_hits(texts: list[list[bytes]], index: Index, known: Known) -> dict[int, np.ndarray]:
+    """The word hashes of those texts that hold any shingle of the benchmark,
+    by their number. All texts are looked up in one go."""
+    words = word_hashes([w for t in texts for w in t], known)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    found: set[int] = set()
+    for w, grams in index.grams.items():
+        own = shingles(words, w)
+        if not len(own) or not len(grams):
+            continue
+        likely = np.zeros(1 << 16, bool)
+        likely[grams >> np.uint64(48)] = True
+        at = np.flatnonzero(likely[own >> np.uint64(48)])
+        at = at[np.isin(own[at], grams)]
+        text = np.searchsorted(ends, at, side="right")
+        found.update(text[at + w <= ends[text]].tolist())
+    return {i: words[ends[i] - len(texts[i]) : ends[i]] for i in sorted(found)}
+
+
 def leaks(words: np.ndarray, index: Index, width: int, least: float) -> list[tuple[int, int, int, float]]:
     """(item number, first word, words, similarity): the best window of each
     item that some window of the text reaches."""
@@ -177,11 +206,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: f
         given = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            index, known = Index(given.value, width), {}
+            index, known = Index(given.value, width), Known()
             for b in batches:
                 out = []
-                for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                    out += [(doc, index.ids[i], s, n, round(x, 6)) for i, s, n, x in leaks(word_hashes(text.as_py(), known), index, width, least)]
+                for at in range(0, len(b), TEXTS):
+                    texts = [split(x.as_py()) for x in b["text"][at : at + TEXTS]]
+                    for i, words in with_hits(texts, index, known).items():
+                        doc = b["doc_id"][at + i].as_py()
+                        out += [(doc, index.ids[k], s, n, round(x, 6)) for k, s, n, x in leaks(words, index, width, least)]
                 cols = zip(*out, strict=True) if out else [[]] * 5
                 types = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
