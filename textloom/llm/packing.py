@@ -22,8 +22,10 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,39 +37,80 @@ from .common import Scratch
 END = 1
 #: Words that a task remembers with their ids before it starts anew.
 REMEMBER = 300_000
+#: Texts whose new words are encoded together.
+TEXTS = 1024
+#: How the tokenizer's vocabulary marks the last piece of a word.
+CLOSE = "</w>"
+#: Marks that stay one piece of text when they follow a word.
+MARKS = ".,;:!?|*#$%&"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each
     whole text, tokenised with the file ``tokenizer`` and closed by id 1.
 
-    The tokenizer splits at white space, so a word's ids are looked up once per
-    task and reused."""
+    The tokenizer splits at white space, lower-cases, and splits letters from
+    marks, so a word's ids are looked up once per task and reused, and a word
+    of letters before marks is the ids of the two, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores busy
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer)
         known: dict[bytes, bytes] = {}
+        cores: dict[str, bytes] = {}
+        closing = np.zeros(tok.get_vocab_size(), bool)
+        closing[[i for t, i in tok.get_vocab().items() if t.endswith(CLOSE)]] = True
         end = END.to_bytes(4, "little")
         step = 4 * capacity
+
+        def encode(text: str) -> np.ndarray:
+            return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        def learn_cores(new: list[str]) -> None:
+            """Words of letters only, encoded in one go: each ends with the one
+            piece that closes a word."""
+            ids = encode(" ".join(new))
+            ends = np.flatnonzero(closing[ids]) + 1
+            if len(ends) == len(new):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                cores.update(zip(new, map(raw.__getitem__, map(slice, [0, *at], at)), strict=False))
+            else:
+                cores.update((w, encode(w).tobytes()) for w in new)
+
+        def learn(words: set[bytes]) -> None:
+            if len(known) > REMEMBER:
+                known.clear()
+            if len(cores) > REMEMBER:
+                cores.clear()
+            parts = []
+            for w in words:
+                if w not in known:
+                    text = w.decode("utf-8", "replace")
+                    core = text.rstrip(MARKS)
+                    if core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha()):
+                        parts.append((w, core.lower() if core.isascii() else core, text[len(core) :]))
+                    else:
+                        known[w] = encode(text).tobytes()
+            if new := [c for c in {core for _, core, _ in parts} if c not in cores]:
+                learn_cores(new)
+            for mark in {m for _, _, m in parts}:
+                if mark not in cores:
+                    cores[mark] = encode(mark).tobytes()
+            known.update((w, cores[core] + cores[mark]) for w, core, mark in parts)
+
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                new = [w for w in set(words) if w not in known]
-                if new:
-                    if len(known) > REMEMBER:
-                        known.clear()
-                        new = list(set(words))
-                    got = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                    for w, e in zip(new, got, strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([*map(known.__getitem__, words), end])
-                for k, at in enumerate(range(0, len(ids), step)):
-                    own = ids[at : at + step]
-                    for col, x in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
-                        col.append(x)
+            for at in range(0, len(b), TEXTS):
+                texts = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in b["text"][at : at + TEXTS]]
+                learn(set().union(*texts))
+                for doc, words in zip(b["doc_id"][at : at + TEXTS].to_pylist(), texts, strict=True):
+                    ids = b"".join([*map(known.__getitem__, words), end])
+                    for k, first in enumerate(range(0, len(ids), step)):
+                        own = ids[first : first + step]
+                        for col, x in zip(out, (doc, k, first // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
+                            col.append(x)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             n = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n])
