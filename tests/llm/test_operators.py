@@ -173,8 +173,7 @@ def test_packing_hard_sizes():
 
 
 def brute_leaks(text, item, width, least):
-    own = lambda t: decontam.word_hashes(decontam.split(t), decontam.Known())
-    a, b = own(text), own(item)
+    a, b = decontam.words_of(text), decontam.words_of(item)
     if not len(b):
         return False
     w = min(width, len(b))
@@ -206,6 +205,18 @@ def test_decontamination(spark):
     assert decontam.flagged(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_word_hashes_follow_the_words():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abAB é\x00\t\n\x1f") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    data, begin = decontam.joined(texts)
+    got, start = decontam.word_hashes(data, decontam.Powers())
+    words_ = [w for t in texts for w in t.encode().lower().split()]
+    seen = {}
+    for w, h in zip(words_, got.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) and len(begin) == 300 and len(start) == len(words_)
+
+
 # --- 3 ------------------------------------------------------------------------
 
 

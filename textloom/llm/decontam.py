@@ -39,29 +39,60 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 RADIUS, BLOCKS = 23, 8
-REMEMBER = 500_000
-#: Texts that are looked up together.
-TEXTS = 256
+#: Characters of texts that are looked up together.
+CHUNK = 1 << 20
+BASE = 0xD6E8FEB86659FD93
+WORD = np.ones(256, bool)
+WORD[[9, 10, 11, 12, 13, 32]] = False
+#: A value per byte, well mixed.
+VALUE = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(256)), "<u8").astype(np.uint64)
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
-class Known(dict):
-    """Hashes of words, computed when first asked for."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
 
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, as far as asked."""
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
 
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+        return self.up[:n], self.down[:n]
 
-def word_hashes(words: list[bytes], known: Known) -> np.ndarray:
-    """One 64-bit hash per word."""
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The texts, A-Z lower-cased, with a blank before each, and where each
+    begins."""
+    own = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    size = np.fromiter((len(t) + 1 for t in own), np.int64, len(own))
+    return b"".join(b"\n" + t for t in own), np.cumsum(size) - size
+
+
+def word_hashes(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per word, and where each word begins: differences of one
+    running polynomial over all bytes, shifted back to the word's start."""
+    code = np.frombuffer(data, np.uint8)
+    if not len(code):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    edge = np.diff(WORD[code].astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    up, down = powers.upto(len(code) + 1)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[code] * up[:-1], dtype=np.uint64)])
+    out = (run[end] - run[start]) * down[start]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(BASE)
+    return out ^ out >> np.uint64(29), start
+
+
+def words_of(text: str | None) -> np.ndarray:
+    return word_hashes(joined([text])[0], Powers())[0]
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -95,10 +126,9 @@ class Index:
     """Items of one block: shingle counts, fingerprints and the multi-index."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        known = Known()
         self.ids, self.sizes, self.counts, prints = [], [], [], []
         for item, text in items:
-            if not len(words := word_hashes(split(text), known)):
+            if not len(words := words_of(text)):
                 continue
             own = shingles(words, min(width, len(words)))
             self.ids.append(item)
@@ -122,11 +152,28 @@ class Index:
         return [i for i in found if (int(self.prints[i]) ^ print_).bit_count() <= RADIUS]
 
 
-def with_hits(texts: list[list[bytes]], index: Index, known: Known) -> dict[int, np.ndarray]:
+def groups(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first, texts) of about CHUNK characters; a longer text
+    comes alone."""
+    own, size, first = [], 0, 0
+    for i, x in enumerate(texts):
+        t = x.as_py()
+        if own and size + len(t or "") > CHUNK:
+            yield first, own
+            own, size, first = [], 0, i
+        own.append(t)
+        size += len(t or "")
+    if own:
+        yield first, own
+
+
+def with_hits(texts: list[str | None], index: Index, powers: Powers) -> dict[int, np.ndarray]:
     """The word hashes of those texts that hold any shingle of the benchmark,
     by their number. All texts are looked up in one go."""
-    words = word_hashes([w for t in texts for w in t], known)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    data, begin = joined(texts)
+    words, start = word_hashes(data, powers)
+    first = np.searchsorted(start, begin)
+    ends = np.append(first[1:], len(words))
     found: set[int] = set()
     for w, grams in index.grams.items():
         own = shingles(words, w)
@@ -138,7 +185,7 @@ def with_hits(texts: list[list[bytes]], index: Index, known: Known) -> dict[int,
         at = at[np.isin(own[at], grams)]
         text = np.searchsorted(ends, at, side="right")
         found.update(text[at + w <= ends[text]].tolist())
-    return {i: words[ends[i] - len(texts[i]) : ends[i]] for i in sorted(found)}
+    return {i: words[first[i] : ends[i]] for i in sorted(found)}
 
 
 def leaks(words: np.ndarray, index: Index, width: int, least: float) -> list[tuple[int, int, int, float]]:
@@ -206,12 +253,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: f
         given = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            index, known = Index(given.value, width), Known()
+            index, powers = Index(given.value, width), Powers()
             for b in batches:
                 out = []
-                for at in range(0, len(b), TEXTS):
-                    texts = [split(x.as_py()) for x in b["text"][at : at + TEXTS]]
-                    for i, words in with_hits(texts, index, known).items():
+                for at, texts in groups(b["text"]):
+                    for i, words in with_hits(texts, index, powers).items():
                         doc = b["doc_id"][at + i].as_py()
                         out += [(doc, index.ids[k], s, n, round(x, 6)) for k, s, n, x in leaks(words, index, width, least)]
                 cols = zip(*out, strict=True) if out else [[]] * 5
