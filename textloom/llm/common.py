@@ -51,7 +51,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
-        df.write.parquet(at)
+        df.write.option("compression", "zstd").parquet(at)
         schema = df.schema
         del df
         self.settle()

@@ -19,7 +19,8 @@ bytes). The digits are
    which is inside each window: halves of one document go;
 4. the window itself, for the few contexts that are left (edges of passages).
 
-Grams, contexts and windows are compared by 64-bit hashes. Each digit's rows
+Whole copies of a smaller document are set aside first: all their windows
+repeat. Grams, contexts and windows are compared by 64-bit hashes. Each digit's rows
 are counted for distinct contexts, not for each copy, so a large group of copies
 costs its own rows and no more.
 
@@ -188,6 +189,14 @@ def shared(rows: DataFrame, digit: str, doc: str) -> DataFrame:
     return rows.where("lo < hi").drop("lo", "hi")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc): documents whose whole text a smaller document has, too."""
+    hashed = docs.select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    first = hashed.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    found = hashed.join(first, "sha", "left").groupBy("doc").agg(F.min(F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).alias("copy"))
+    return found.where("copy").select("doc")
+
+
 def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     """(doc, start, mask): bit i is set if the window at start + i also starts
     in a document with a smaller id. ``docs``: doc, text."""
@@ -197,19 +206,25 @@ def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     scratch.drop(grams)
 
     least = scratch.keep(found.groupBy("context").agg(F.min("doc").alias("least"), F.min("gram").alias("gram")), "least")
-    open_ = shared(least, "gram", "least").select("context", "least")
+    open_ = scratch.keep(shared(least, "gram", "least").select("context", "least"), "shared")
     first = found.join(open_, "context").where("doc = least").dropDuplicates(["context"])
     first = scratch.keep(first.select("context", "least", "n", "at", "bytes"), "open")
+    runs = scratch.keep(found.select("context", "doc", "start", "n"), "runs")
+    scratch.drop(found)
 
     sides = shared(halves(first, depth, k), "half", "least").groupBy("context").agg(F.collect_set("side").alias("sides"))
+    sides = scratch.keep(sides, "sides")
     edges = scratch.keep(windows(first.join(sides, "context"), depth, k), "windows")
-    earlier = edges.groupBy("window").agg(F.min("least").alias("before"))
+    scratch.drop(first)
+    earlier = edges.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("last")).where("before < last")
     bit = F.expr("shiftleft(1L, cast(i as int))")
-    marks = edges.join(earlier, "window").where("before < least").groupBy("context").agg(F.bit_or(bit).alias("mark"))
+    marks = edges.join(earlier.select("window", "before"), "window").where("before < least")
+    marks = scratch.keep(marks.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks")
+    scratch.drop(edges)
 
     known = least.join(marks, "context", "left").select("context", "least", "mark")
     whole = F.expr("shiftleft(1L, n) - 1")
-    rows = found.select("context", "doc", "start", "n").join(known, "context")
+    rows = runs.join(known, "context")
     rows = rows.withColumn("mask", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mark", F.lit(0))))
     return scratch.keep(rows.where("mask <> 0").select("doc", "start", "mask"), "repeats")
 
@@ -236,14 +251,19 @@ def without_repeats(docs: DataFrame, depth: int = 50, k: int = 20) -> DataFrame:
         raise ValueError("depth - k must be from 0 to 61")
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    found = repeats(rows.where("doc is not null"), scratch, depth, k)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    named = rows.where("doc is not null")
+    whole = scratch.keep(copies(named), "copies")
+    found = repeats(named.join(whole, "doc", "left_anti"), scratch, depth, k)
+    marks = found.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("marks"), F.lit(False).alias("copy"))
+    marks = marks.unionByName(whole.select("doc", F.lit(True).alias("copy")), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, marks in zip(b["text"], b["marks"].to_pylist(), strict=True):
+            for text, marks, copy in zip(b["text"], b["marks"].to_pylist(), b["copy"].to_pylist(), strict=True):
                 data = raw(text.as_py()).tobytes()
+                if copy and len(data) >= depth:
+                    marks = [{"start": i, "mask": 1} for i in (*range(0, len(data) - depth, depth), len(data) - depth)]
                 kept, spans = kept_bytes(data, [m["start"] for m in marks or ()], [m["mask"] for m in marks or ()], depth)
                 row = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans])
                 for col, v in zip(out, row, strict=True):
@@ -252,4 +272,4 @@ def without_repeats(docs: DataFrame, depth: int = 50, k: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc"], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
-    return rows.join(by_doc, "doc", "left").mapInArrow(run, schema)
+    return rows.join(marks, "doc", "left").mapInArrow(run, schema)
