@@ -120,6 +120,24 @@ def test_one_of_each(docs, rows):
     assert 0 in kept and not kept & set(range(40, 46)) and None in kept
 
 
+def test_one_of_each_at_the_rule(spark):
+    """Copies at a five-word similarity of 0.8 to 0.9 go, those below it stay."""
+    rng, texts, copies, want = random.Random(11), [], [], set()
+    for i in range(60):
+        own = [f"v{rng.randint(0, 5000)}" for _ in range(200)]
+        texts.append(" ".join(own))
+        n = 2 + i % 3 if i < 45 else 7
+        for k in range(n):
+            own[15 + 25 * k] += "x"
+        copies.append(" ".join(own))
+        a, b = (set(zip(*(t.split()[j:] for j in range(5)))) for t in (texts[-1], copies[-1]))
+        near = len(a & b) / len(a | b)
+        assert 0.8 <= near < 0.91 if i < 45 else near < 0.75
+        want |= {i} if near >= 0.8 else {i, 1000 + i}
+    df = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(copies)], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.one_of_each(df, width=5).collect()} == want
+
+
 # --- 1 ------------------------------------------------------------------------
 
 

@@ -31,10 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, row_key
 
 SEED = 42
 CHUNK = 1 << 16
+#: Sub-fingerprints of a shingle set, and the least hashes that make one. A pair
+#: at similarity 0.8 shares none of them with a chance of 3 in a million.
+BANDS, LEAST = 32, 5
+#: Members of a bucket that each one is compared with in the later rounds.
+REACH = 32
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -166,12 +171,134 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, parts: int
     )
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of shingles; 1 for two empty ones."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, row, node, n, keys): node names the shingle set of the text, n
+    is its size and keys holds its ``BANDS`` sub-fingerprints, each the hash of
+    the least shingle under ``LEAST`` orders."""
+    rng = np.random.default_rng(SEED)
+    flip, mix = (rng.integers(0, 1 << 64, (BANDS * LEAST, 1), np.uint64) for _ in range(2))
+    mix |= np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, keys = [], [], []
+            for x in b["text"]:
+                own = np.unique(shingle_hashes(x.as_py(), width))
+                least = np.full(BANDS * LEAST, ~np.uint64(0))
+                for i in range(0, len(own), 1024):
+                    np.minimum(least, ((own[i : i + 1024] ^ flip) * mix).min(axis=1), out=least)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                size.append(len(own))
+                keys.append([xxhash.xxh64_intdigest(k.tobytes(), SEED) - (1 << 63) for k in least.reshape(BANDS, LEAST)])
+            cols = [b["doc_id"], b["row"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "node", "n", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, row long, node long, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the given rows: sorted hashes of eight bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), width)).astype("<u8").tobytes() for x in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = docs.select(row_key().alias("row"), F.col("text").cast("string")).join(rows, "row")
+    return texts.dropDuplicates(["row"]).select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def candidates(met: DataFrame, turn: int, least: float) -> DataFrame:
+    """(a, b): pairs of members of a bucket that are in different groups so far.
+
+    The first turn compares each member with the bucket's first one, the later
+    ones also with the ``REACH`` members before it, in an order of their own.
+    """
+    order = F.col("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
+    bucket = Window.partitionBy("band", "key")
+    mine = F.struct("node", "root", "n")
+    rows = met.withColumn("split", F.min("root").over(bucket) != F.max("root").over(bucket)).where("split")
+    rows = rows.withColumn("order", order)
+    near = F.array(F.first(mine).over(bucket.orderBy("order", "node")))
+    if turn:
+        near = F.concat(near, F.collect_list(mine).over(bucket.orderBy("order", "node").rowsBetween(-REACH, -1)))
+    pairs = rows.withColumn("near", near).select("node", "root", "n", F.explode("near").alias("other"))
+    pairs = pairs.where("root <> other.root").where(F.least("n", "other.n") >= least * F.greatest("n", "other.n"))
+    return pairs.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets have a similarity of at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [
+                similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least
+                for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 4) -> DataFrame:
+    """(doc_id, component_id) for each row: the smallest doc_id reachable over
+    pairs of texts whose shingle sets have a Jaccard similarity of ``least``.
+
+    Candidates share a sub-fingerprint of their shingles or a component of near
+    SimHash fingerprints; every pair is verified on the whole sets. Turns go on
+    until one brings no link, so a group is met through other members too.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows = scratch.keep(sketches(docs, width), "sketches")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    bands = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    near = near_duplicates(docs, radius, width).where("component_id is not null").select("doc_id", F.col("component_id").alias("key")).distinct()
+    ball = rows.join(near, "doc_id").select("node", "n", F.lit(-1).alias("band"), "key").distinct()
+    bucket = Window.partitionBy("band", "key")
+    met = bands.unionByName(ball).withColumn("members", F.count("*").over(bucket)).where("members > 1")
+    met = scratch.keep(met.select("node", "n", "band", "key"), "met")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "row")
+    sets = scratch.keep(shingle_sets(docs, wanted, width), "sets")
+    links = tested = None
+    roots = met.sparkSession.createDataFrame([], "node long, root long")
+    turn = 0
+    while True:
+        named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = candidates(named, turn, least)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs")
+        found = scratch.keep(verified(pairs, sets, least), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        any_new = not found.isEmpty()
+        if any_new:
+            roots = scratch.keep(components(links, scratch), "roots")
+        if turn and not any_new:
+            break
+        turn += 1
+    labelled = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    groups = scratch.keep(labelled, "groups")
+    named = groups.join(groups.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the first document of their component.
 
     Of rows with the same doc_id all stay if that id is the first one; rows
     with a null doc_id stay, as nothing names them.
     """
-    found = near_duplicates(docs, **options)
+    found = similar(docs, **options)
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti")
