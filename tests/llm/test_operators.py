@@ -320,6 +320,18 @@ def test_line_templates(spark):
         assert got[i].text == texts[i] and got[i].n_dropped == 0 and got[i].pos == 0
 
 
+def test_lines_of_one_code_stay_apart(spark):
+    """Words whose two-byte codes are the same are different lines."""
+    seen = {}
+    for n in range(100_000):
+        b = str(n).translate(str.maketrans("0123456789", "abcdefghij"))
+        if (a := seen.setdefault(xxhash.xxh32_intdigest(b) % 65535, b)) != b:
+            break
+    df = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
+    got = lines.parsed(df).collect()
+    assert len({r.fields for r in got}) == 1 and len({r.line for r in got}) == len({r.leaf for r in got}) == 2
+
+
 # --- 6 ------------------------------------------------------------------------
 
 
