@@ -332,6 +332,19 @@ def test_lines_of_one_code_stay_apart(spark):
     assert len({r.fields for r in got}) == 1 and len({r.line for r in got}) == len({r.leaf for r in got}) == 2
 
 
+def test_many_templates_in_a_leaf(spark):
+    """Families of lines with a word for a field, and loners, in one leaf."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    forms = ["we thank our reader {} for this kind letter", "we thank every friend who gave to {} today"]
+    texts = [f"{prose(15)}\n{forms[i % 2].format(word())}" for i in range(30)]
+    texts += [f"{prose(15)}\nwe thank {prose(7)}\nwe thank {prose(7)}" for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(df).collect()}
+    assert got == {i: int(i < 30) for i in range(60)}
+
+
 # --- 6 ------------------------------------------------------------------------
 
 
