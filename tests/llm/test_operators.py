@@ -320,6 +320,20 @@ def test_line_templates(spark):
         assert got[i].text == texts[i] and got[i].n_dropped == 0 and got[i].pos == 0
 
 
+def test_long_lines_recur(spark):
+    """The longest line of all its documents, long ones in few documents, and
+    what stands beside them; the body of an edited copy stays."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    notice, passage, source, body = prose(40), prose(60), "read more of this on our pages", [prose(70), prose(60), prose(55)]
+    texts = [f"{prose(20)}\n{notice}\n{source}" for _ in range(12)]
+    texts += [f"{prose(80)}\n{prose(70)}\n{passage}" for _ in range(2)]
+    texts += ["\n".join(body), "\n".join([body[0] + " more", *body[1:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(df).collect()}
+    assert got == {i: 2 if i < 12 else 1 if i < 14 else 0 for i in range(16)}
+
+
 def test_lines_of_one_code_stay_apart(spark):
     """Words whose two-byte codes are the same are different lines."""
     seen = {}
