@@ -1,6 +1,7 @@
 """Evaluation, calibration, monitoring, streams and models."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,26 @@ def test_drift_batch_and_stream(spark, tmp_path):
             assert r.prediction_psi == pytest.approx(twin.prediction_psi) and r.confidence_psi == pytest.approx(twin.confidence_psi)
 
 
+def test_drift_rows_of_a_batch_are_bounded(spark):
+    from textloom.streaming import jobs
+
+    rng = random.Random(8)
+    rows = [(i % 3 and f"m{i % 3}" or None, f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}", i, rng.choice(["positive", "negative"]), rng.random()) for i in range(3000)]
+    rows[1501] = (*rows[1501][:3], "__reset__", 0.0)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "model_version string, ts string, event_id long, predicted_label string, confidence double")
+    df = df.withColumn("ts", df.ts.cast("timestamp")).repartition(7)
+    want = []
+    for model in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == model), key=lambda r: r[1:3])
+        cut = max((i for i, r in enumerate(own) if r[3] == "__reset__"), default=-1)
+        own = own[max(cut, 0) :]
+        n = 40 + (cut >= 0)
+        want += [r[2] for r in own[:n] + own[n:][-20:]]
+    assert sorted(r.event_id for r in jobs.bounded(df, 40, 20).collect()) == sorted(want)
+
+
+
 def test_rolling_confidence_resets(spark):
     got = [r.rolling for r in monitoring.rolling_confidence(rows_of(spark, ["positive"] * 7), 4).orderBy("rn").collect()]
     assert got == pytest.approx([0.9, 0.9, 0.9, 0.0, 0.9, 0.9, 0.9])

@@ -183,8 +183,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("stream_drift", f"WITH {metrics.DRIFT} {metrics.STATUS}")
 def _(t: Tables) -> DataFrame:
-    """The stateful job over the whole stream; its batch twin is the oracle."""
-    out = run(jobs.drift(streamed(t).predictions, metrics.N, metrics.M), "update", t, "drift")
+    """The stateful job over the rows of each batch that it can need; its batch
+    twin is the oracle."""
+    at = shared_path(t.spark, "drift-rows")
+
+    def put(batch: DataFrame, number: int) -> None:
+        jobs.bounded(batch, metrics.N, metrics.M).repartition(1).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    rows = streamed(t).predictions.select("model_version", "ts", "event_id", "predicted_label", "confidence")
+    q = rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/rows/*")
+    out = run(jobs.drift(kept, metrics.N, metrics.M), "update", t, "drift")
     return metrics.six(out, "prediction_psi", "confidence_psi")
 
 
