@@ -145,3 +145,14 @@ def test_entry_works_without_the_optional_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
+
+
+def test_model_terms_come_from_each_class(spark):
+    from textloom.plans import models
+    from textloom.queries import learning
+
+    rows = [(float(i % 10 == 0), [f"rare{i % 3}"] if i % 10 == 0 else [f"often{k}" for k in range(5)]) for i in range(100)]
+    train = spark.createDataFrame(rows, "y double, terms array<string>")
+    model = models.fit(train, "naive_bayes", features=3)
+    assert model.stages[0].vocabulary == ["often0", "often1", "often2", "rare0", "rare1", "rare2"]
+    assert learning.OPTIONS == {"features": 5000, "trees": 100, "depth": 12}

@@ -7,10 +7,10 @@ import time
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, MaxAbsScaler, VectorSlicer
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, MaxAbsScaler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import ngrams, preprocess
@@ -26,9 +26,19 @@ def with_terms(df: DataFrame, text: str = "text", label: str = "label") -> DataF
     return out.withColumn("y", (F.col(label) == "positive").cast("double")) if label in df.columns else out
 
 
-def vectorizer(features: int = FEATURES, least: float = 1.0, tfidf: bool = False) -> list:
-    """Presence features scaled to 0..1, or counts weighted by rarity."""
+def class_terms(train: DataFrame, features: int) -> list[str]:
+    """The union of each class's ``features`` commonest terms, in order."""
+    counts = train.select("y", F.explode("terms").alias("term")).groupBy("y", "term").count()
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("count"), "term"))
+    return sorted(r.term for r in counts.withColumn("r", rank).where(F.col("r") <= features).select("term").distinct().collect())
+
+
+def vectorizer(features: int = FEATURES, least: float = 1.0, tfidf: bool = False, terms: list[str] | None = None) -> list:
+    """Presence features scaled to 0..1, or counts weighted by rarity; of the
+    given terms, or else of the commonest ones over all classes."""
     counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=least, binary=not tfidf)
+    if terms:
+        counts = CountVectorizerModel.from_vocabulary(terms, "terms", "counts").setBinary(not tfidf)
     if tfidf:
         return [counts, IDF(inputCol="counts", outputCol="features")]
     return [counts, MaxAbsScaler(inputCol="counts", outputCol="features")]
@@ -63,7 +73,8 @@ def fit(train: DataFrame, algorithm: str, held: DataFrame | None = None, **optio
     """Fit on rows of ``with_terms``; the margin of the linear machine is turned
     into a probability by a logistic curve fitted on ``held`` rows."""
     rows = weighted(train)
-    model = Pipeline(stages=[*vectorizer(**{k: v for k, v in options.items() if k in ("features", "least", "tfidf")}), estimator(algorithm, **{k: v for k, v in options.items() if k in ("rows", "trees", "depth")})]).fit(rows)
+    terms = class_terms(train, options.get("features", FEATURES)) if "least" not in options else None
+    model = Pipeline(stages=[*vectorizer(**{k: v for k, v in options.items() if k in ("features", "least", "tfidf")}, terms=terms), estimator(algorithm, **{k: v for k, v in options.items() if k in ("rows", "trees", "depth")})]).fit(rows)
     if algorithm != "svm":
         return model
     margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])

@@ -16,7 +16,7 @@ from ..sources import shared_path
 from ..streaming import jobs
 from . import metrics
 
-OPTIONS = {"features": 1000, "trees": 20, "depth": 8}
+OPTIONS = {"features": models.FEATURES, "trees": 100, "depth": 12}
 
 
 def prepared(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
