@@ -133,8 +133,10 @@ def test_models_learn(spark):
         assert out.where("prob < 0 or prob > 1").count() == 0
 
 
-def test_entry_works_without_the_optional_package(tmp_path):
-    """With the training-data folders gone the rest imports and registers."""
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_entry_works_without_the_optional_package(tmp_path, with_pipeline):
+    """With the training-data folders gone the rest imports and registers, the
+    pipeline's file being there or not."""
     import shutil
     import subprocess
     import sys
@@ -143,6 +145,8 @@ def test_entry_works_without_the_optional_package(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "textloom", tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if with_pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
 
