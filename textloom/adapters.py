@@ -55,6 +55,18 @@ SQL = {
 }
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table in few small files over all cores before costly
+    text steps. A table with files or bytes enough for every core is read as it
+    lies, so a large one is never shuffled for this."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    few = size < cores * split and len(df.inputFiles()) < cores
+    return df.repartition(cores, key) if few else df
+
+
 class Tables:
     """Tables of one data folder."""
 
@@ -67,7 +79,7 @@ class Tables:
     @cached_property
     def samples(self) -> DataFrame:
         positive = F.col("quality") == 1
-        return self["documents"].join(self["labels"], "doc_id").select(
+        return spread(self["documents"], "doc_id").join(self["labels"], "doc_id").select(
             F.col("doc_id").alias("id"),
             "text",
             F.when(positive, "positive").otherwise("negative").alias("label"),
@@ -80,7 +92,7 @@ class Tables:
     @cached_property
     def decorated(self) -> DataFrame:
         snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 12 + 1).cast("int"))
-        return self["documents"].select("doc_id", F.concat("text", F.lit(" "), snippet).alias("text"))
+        return spread(self["documents"], "doc_id").select("doc_id", F.concat("text", F.lit(" "), snippet).alias("text"))
 
     @cached_property
     def predictions(self) -> DataFrame:
