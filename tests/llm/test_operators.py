@@ -359,6 +359,82 @@ def test_many_templates_in_a_leaf(spark):
     assert got == {i: int(i < 30) for i in range(60)}
 
 
+def test_two_families_with_the_same_lead(spark):
+    """Names for fields, and two templates under one leaf."""
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = [f"{name()} {name()} {name()} {name()}\nUser name {name()} has logged into the portal now\nUser name {name()} was banned by an admin today" for _ in range(12)]
+    df = spark.createDataFrame([(i, t, i, "x", None) for i, t in enumerate(texts)], "doc_id long, text string, row__ int, places string, row int")
+    out = lines.without_recurring_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t in enumerate(texts):
+        assert got[i].text == t.split("\n")[0] and (got[i].n_lines, got[i].n_dropped, got[i].row__, got[i].places) == (3, 2, i, "x")
+
+
+def brute_templates(counts, alike):
+    """The tree on strings: {masked line: template}, by turns over all leaves."""
+    name = lambda line: xxhash.xxh64_intdigest(" ".join(line)) - (1 << 63)
+    rank = lambda line: (counts[line], -name(line))
+    leaf = lambda line: (len(line), *line[:2])
+    pool, heads, made = set(counts), set(), {}
+    while True:
+        buckets, mine = {}, {}
+        for x in pool:
+            n = int((1 - alike) * len(x) + 1e-9) + 1
+            mine[x] = [(leaf(x), i, x[len(x) * i // n : len(x) * (i + 1) // n]) for i in range(n)]
+            for k in mine[x]:
+                buckets.setdefault(k, []).append(x)
+        found = {}
+        for x in pool - heads:
+            for k in mine[x]:
+                for side in (heads, pool - heads):
+                    own = [y for y in buckets[k] if y in side]
+                    if own and (best := max(own, key=rank)) != x:
+                        same = sum(a == b for a, b in zip(x, best))
+                        if same >= alike * len(x) - 1e-9:
+                            found.setdefault(x, {})[best] = same
+        joined = {x: max(ok, key=lambda y: (ok[y], rank(y))) for x, near in found.items() if (ok := {y: s for y, s in near.items() if y not in found})}
+        if not joined:
+            return made | {t: t for t in made.values()}
+        made |= joined
+        pool -= set(joined)
+        heads |= set(joined.values())
+
+
+def test_template_tree_against_brute_force(spark):
+    rng = random.Random(21)
+    forms = [[rng.choice("abcdefgh") * 3 for _ in range(rng.randint(4, 14))] for _ in range(6)]
+    texts, counts = [], Counter()
+    for _ in range(60):
+        own = set()
+        for _ in range(4):
+            line = list(rng.choice(forms))
+            for p in rng.sample(range(len(line)), rng.randint(0, len(line) // 2)):
+                line[p] = rng.choice("pqrstuvw")
+            own.add(tuple(line))
+        counts.update(own)
+        texts.append("\n".join(" ".join(x) for x in own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    parsed = scratch.keep(lines.parsed(df), "lines")
+    n = parsed.where("lead").groupBy("line").agg(F.count("*").alias("n"), F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
+    got = {r.line: r.template for r in lines.templates(lines.crowded(parsed, n, scratch, 1), scratch, 0.7).collect()}
+    name = lambda line: xxhash.xxh64_intdigest(" ".join(line)) - (1 << 63)
+    want = brute_templates(counts, 0.7)
+    assert got == {name(a): name(b) for a, b in want.items()} and len(set(want.values())) > 6
+
+
+def test_joins_split_hot_keys_beyond_the_bound(spark):
+    from textloom.llm.common import looked_up
+
+    left = spark.range(300).selectExpr("id", "if(id % 3 = 0, id, 7) AS k", "id AS salt")
+    right = spark.createDataFrame([(7, "a"), (9, "b"), (1000, "c")], "k long, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want, got = (Counter(tuple(r.asDict().items()) for r in looked_up(left, right, "k", how, few=few).collect()) for few in (10, 0))
+        assert got == want
+
+
 # --- 6 ------------------------------------------------------------------------
 
 

@@ -71,6 +71,33 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a few numbers that may be broadcast; more are joined by a shuffle.
+FEW = 500_000
+
+
+def looked_up(left: DataFrame, right: DataFrame, on: str, how: str = "inner", few: int = FEW, salts: int = 32) -> DataFrame:
+    """``left`` joined to ``right``, which holds each key once and a few numbers,
+    however many rows of ``left`` share a key.
+
+    A right side of few rows (counted, so give a written table) is broadcast.
+    A larger one is repeated once per salt and the rows of ``left`` are dealt
+    over the salts by their own hash, so a hot key is split."""
+    if right.count() <= few:
+        return left.join(F.broadcast(right), on, how)
+    salt = fresh(left, "salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    every = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [on, salt], how).drop(salt)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key() -> Column:
     """Names the row of a text, alike on both sides of a later join."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
