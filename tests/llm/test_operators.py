@@ -227,7 +227,7 @@ def test_word_hashes_follow_the_words():
     rng = random.Random(8)
     texts = ["".join(rng.choice("abAB é\x00\t\n\x1f") for _ in range(rng.randint(0, 40))) for _ in range(300)]
     data, begin = decontam.joined(texts)
-    got, start = decontam.word_hashes(data, decontam.Powers())
+    got, start, _ = decontam.word_hashes(data, decontam.Powers())
     words_ = [w for t in texts for w in t.encode().lower().split()]
     seen = {}
     for w, h in zip(words_, got.tolist(), strict=True):
@@ -336,16 +336,41 @@ def test_long_lines_recur(spark):
 
 def test_lines_of_one_code_stay_apart(spark):
     """Words whose two-byte codes are the same are different lines."""
+    own = [str(n).translate(str.maketrans("0123456789", "abcdefghij")) for n in range(100_000)]
+    codes = lines.coded(["\n".join(own).encode()], lines.Powers())["codes"]
     seen = {}
-    for n in range(100_000):
-        b = str(n).translate(str.maketrans("0123456789", "abcdefghij"))
-        if (a := seen.setdefault(xxhash.xxh32_intdigest(b) % 65535, b)) != b:
+    for word, code in zip(own, codes.tolist(), strict=True):
+        if (other := seen.setdefault(code, word)) != word:
             break
-    df = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
+    df = spark.createDataFrame([(0, other), (1, word)], "doc_id long, text string")
     got = lines.parsed(df).collect()
     assert len({r.fields for r in got}) == 1 and len({r.line for r in got}) == len({r.leaf for r in got}) == 2
 
 
+def test_parsed_lines_against_plain_loops(spark, monkeypatch):
+    """Places, counts, masks and equality of lines, also of texts in pieces."""
+    monkeypatch.setattr(lines, "CHUNK", 40)
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(["a", "b", "7", " ", " ", "\n", "é", "\t", "\r", "\x1f"]) for _ in range(rng.randint(0, 150))) for _ in range(80)] + [None, "", "\n\n", "a" * 200]
+    want, names, leaves = {}, {}, {}
+    for i, t in enumerate(texts):
+        met = set()
+        for pos, line in enumerate((t or "").encode().split(b"\n")):
+            if own := tuple(b"0" if any(48 <= x <= 57 for x in w) else w for w in line.split()):
+                want[i, pos] = (len(own), own, own not in met)
+                met.add(own)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = lines.parsed(df).collect()
+    ids = {r.k: r.doc_id for r in df.withColumn("k", lines.row_key()).collect()}
+    assert len(rows) == len(want)
+    for r in rows:
+        tokens, own, lead = want[ids[r.row], r.pos]
+        assert (r.tokens, r.lead, len(r.fields)) == (tokens, lead, 2 * tokens)
+        assert [r.fields[2 * k : 2 * k + 2] == b"\xff\xff" for k in range(tokens)] == [w == b"0" for w in own]
+        assert names.setdefault(own, r.line) == r.line and leaves.setdefault((tokens, own[:2]), r.leaf) == r.leaf
+    assert len(set(names.values())) == len(names) and len(set(leaves.values())) == len(leaves)
+
+
 def test_many_templates_in_a_leaf(spark):
     """Families of lines with a word for a field, and loners, in one leaf."""
     rng = random.Random(5)
@@ -372,10 +397,9 @@ def test_two_families_with_the_same_lead(spark):
         assert got[i].text == t.split("\n")[0] and (got[i].n_lines, got[i].n_dropped, got[i].row__, got[i].places) == (3, 2, i, "x")
 
 
-def brute_templates(counts, alike):
+def brute_templates(counts, alike, name):
     """The tree on strings: {masked line: template}, by turns over all leaves."""
-    name = lambda line: xxhash.xxh64_intdigest(" ".join(line)) - (1 << 63)
-    rank = lambda line: (counts[line], -name(line))
+    rank = lambda line: (counts[line], -name[line])
     leaf = lambda line: (len(line), *line[:2])
     pool, heads, made = set(counts), set(), {}
     while True:
@@ -420,12 +444,13 @@ def test_template_tree_against_brute_force(spark):
     parsed = scratch.keep(lines.parsed(df), "lines")
     n = parsed.where("lead").groupBy("line").agg(F.count("*").alias("n"), F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
     got = {r.line: r.template for r in lines.templates(lines.crowded(parsed, n, scratch, 1), scratch, 0.7).collect()}
-    name = lambda line: xxhash.xxh64_intdigest(" ".join(line)) - (1 << 63)
-    want = brute_templates(counts, 0.7)
-    assert got == {name(a): name(b) for a, b in want.items()} and len(set(want.values())) > 6
+    hashes = lines.coded(["\n".join(map(" ".join, counts)).encode()], lines.Powers())["line"].view(np.int64).tolist()
+    name = dict(zip(counts, hashes, strict=True))
+    want = brute_templates(counts, 0.7, name)
+    assert got == {name[a]: name[b] for a, b in want.items()} and len(set(want.values())) > 6
 
 
-def test_joins_split_hot_keys_beyond_the_bound(spark):
+def test_joins_are_alike_beyond_the_bound(spark):
     from textloom.llm.common import looked_up
 
     left = spark.range(300).selectExpr("id", "if(id % 3 = 0, id, 7) AS k", "id AS salt")

@@ -75,19 +75,15 @@ class Scratch:
 FEW = 500_000
 
 
-def looked_up(left: DataFrame, right: DataFrame, on: str, how: str = "inner", few: int = FEW, salts: int = 32) -> DataFrame:
+def looked_up(left: DataFrame, right: DataFrame, on: str, how: str = "inner", few: int = FEW) -> DataFrame:
     """``left`` joined to ``right``, which holds each key once and a few numbers,
     however many rows of ``left`` share a key.
 
-    A right side of few rows (counted, so give a written table) is broadcast.
-    A larger one is repeated once per salt and the rows of ``left`` are dealt
-    over the salts by their own hash, so a hot key is split."""
-    if right.count() <= few:
-        return left.join(F.broadcast(right), on, how)
-    salt = fresh(left, "salt")
-    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    every = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(every, [on, salt], how).drop(salt)
+    A right side of few rows (counted, so give a written table) is broadcast,
+    and a hot key stays where it is. A larger one is joined by a shuffle, whose
+    partitions the engine splits where a hot key has filled one: give the result
+    to a step that doesn't ask for the key's partitioning."""
+    return left.join(F.broadcast(right) if right.count() <= few else right, on, how)
 
 
 def fresh(df: DataFrame, name: str) -> str:

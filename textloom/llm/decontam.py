@@ -32,41 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .hashing import Powers, word_hashes
 
 RADIUS, BLOCKS = 23, 8
 #: Characters of texts that are looked up together.
 CHUNK = 1 << 20
-BASE = 0xD6E8FEB86659FD93
-WORD = np.ones(256, bool)
-WORD[[9, 10, 11, 12, 13, 32]] = False
-#: A value per byte, well mixed.
-VALUE = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(256)), "<u8").astype(np.uint64)
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64, as far as asked."""
-
-    def __init__(self):
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
-        return self.up[:n], self.down[:n]
-
-
 def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
     """The texts, A-Z lower-cased, with a blank before each, and where each
     begins."""
@@ -75,22 +52,6 @@ def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
     return b"".join(b"\n" + t for t in own), np.cumsum(size) - size
 
 
-def word_hashes(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word, and where each word begins: differences of one
-    running polynomial over all bytes, shifted back to the word's start."""
-    code = np.frombuffer(data, np.uint8)
-    if not len(code):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    edge = np.diff(WORD[code].astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-    up, down = powers.upto(len(code) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[code] * up[:-1], dtype=np.uint64)])
-    out = (run[end] - run[start]) * down[start]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(BASE)
-    return out ^ out >> np.uint64(29), start
-
-
 def words_of(text: str | None) -> np.ndarray:
     return word_hashes(joined([text])[0], Powers())[0]
 
@@ -171,7 +132,7 @@ def with_hits(texts: list[str | None], index: Index, powers: Powers) -> dict[int
     """The word hashes of those texts that hold any shingle of the benchmark,
     by their number. All texts are looked up in one go."""
     data, begin = joined(texts)
-    words, start = word_hashes(data, powers)
+    words, start, _ = word_hashes(data, powers)
     first = np.searchsorted(start, begin)
     ends = np.append(first[1:], len(words))
     found: set[int] = set()
