@@ -25,7 +25,9 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from unicodedata import normalize
+from functools import cache
+from string import ascii_letters
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,87 +35,162 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .hashing import VALUE, Powers, U, grouped, running, word_spans
 
 END = 1
-#: Words that a task remembers with their ids before it starts anew.
-REMEMBER = 300_000
-#: Texts whose new words are encoded together.
-TEXTS = 1024
+#: Words that a worker remembers with their ids before it starts anew.
+REMEMBER = 2_000_000
+#: Bytes of texts whose words are looked up together.
+CHUNK = 1 << 22
 #: How the tokenizer's vocabulary marks the last piece of a word.
 CLOSE = "</w>"
 #: Marks that stay one piece of text when they follow a word.
 MARKS = ".,;:!?|*#$%&"
 
 
+#: Counters of letters, marks and bytes beyond ASCII in one number: bits of each.
+PLACES = 20
+KIND = np.zeros(256, np.int64)
+KIND[list(ascii_letters.encode())], KIND[list(MARKS.encode())], KIND[128:] = 1, 1 << PLACES, 1 << 2 * PLACES
+
+
+class Words:
+    """Ids of the words of texts, each word encoded once and remembered by its
+    64-bit hash; the ids of all remembered words lie in one array."""
+
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores busy
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(tokenizer)
+        self.closing = np.zeros(self.tok.get_vocab_size(), bool)
+        self.closing[[i for t, i in self.tok.get_vocab().items() if t.endswith(CLOSE)]] = True
+        self.powers = Powers()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.rows = np.empty(0, U), np.empty(0, np.int64)
+        self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.array([END], "<u4")  # row 0 is the end mark
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of words of letters, encoded in one go: each ends
+        with the one piece that closes a word."""
+        if not words:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        ids = self.encode(" ".join(words))
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) == len(words):
+            return ids, np.diff(ends, prepend=0)
+        own = [self.encode(w) for w in words]
+        return np.concatenate(own), np.array(list(map(len, own)), np.int64)
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Units of letters are encoded in one go; other words by their letters
+        and the marks behind, or whole."""
+        plain = np.fromiter(map(bytes.isalpha, words), bool, len(words))
+        other = np.flatnonzero(~plain)
+        texts = [words[i].decode("utf-8", "replace") for i in other.tolist()]
+        cores = [t.rstrip(MARKS) for t in texts]
+        fits = [c.isalpha() and (is_normalized("NFC", c) or normalize("NFC", c).isalpha()) and c.lower().isalpha() for c in cores]
+        own = list(dict.fromkeys(c for c, ok in zip(cores, fits, strict=True) if ok))
+        known = [words[i].decode() for i in np.flatnonzero(plain).tolist()]
+        ids, size = self.letters(known + own)
+        ends = np.cumsum(size)
+        cut = int(ends[len(known) - 1]) if known else 0
+        place = {c: (e - n, e) for c, e, n in zip(own, ends[len(known) :].tolist(), size[len(known) :].tolist(), strict=True)}
+        tails: dict[str, np.ndarray] = {}
+        rest = []
+        for text, core, ok in zip(texts, cores, fits, strict=True):
+            tail = text[len(core) :] if ok else text
+            if tail and tail not in tails:
+                tails[tail] = self.encode(tail)
+            sides = [ids[slice(*place[core])]] if ok else []
+            rest.append(np.concatenate([*sides, tails[tail]]) if tail else sides[0])
+        size = np.concatenate([size[: len(known)], np.fromiter(map(len, rest), np.int64, len(rest))])
+        begin = len(self.ids)
+        self.rows = np.concatenate([self.rows, len(self.size) + np.arange(len(size))])
+        self.keys = np.concatenate([self.keys, keys[plain], keys[other]])
+        self.ids = np.concatenate([self.ids, ids[:cut], *rest])
+        self.first = np.concatenate([self.first, begin + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        by = np.argsort(self.keys, kind="stable")
+        self.keys, self.rows = self.keys[by], self.rows[by]
+
+    def spans(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with A-Z lower-cased in words of ASCII, and where the units
+        begin and end: words, and apart from them marks after ASCII letters."""
+        start, end = word_spans(code)
+        upto = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(KIND[code], out=upto[1:])
+        held = upto[end] - upto[start]
+        short = end - start < 1 << PLACES  # of longer words the counters may run over
+        plain = (held >> 2 * PLACES == 0) & short
+        big = np.flatnonzero((code >= 65) & (code <= 90))
+        code = code.copy()
+        code[big[plain[np.searchsorted(start, big, side="right") - 1]]] |= 32
+        n = held & (1 << PLACES) - 1
+        at = np.flatnonzero(plain & (n > 0) & (n < end - start) & (n + (held >> PLACES) == end - start))
+        middle = start + n
+        at = at[upto[middle[at]] - upto[start[at]] == n[at]]
+        return code, np.insert(start, at + 1, middle[at]), np.insert(end, at, middle[at])
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, each closed by the end mark, and where each ends."""
+        data = b"\n".join([*texts, b""])
+        code, start, end = self.spans(np.frombuffer(data, np.uint8))
+        unit, at, back = np.unique(running(VALUE[code], start, end, self.powers), return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBER:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.keys, unit), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != unit) if len(self.keys) else np.arange(len(unit))
+        if len(new):
+            raw = code.tobytes()
+            self.learn(unit[new], [raw[s:e] for s, e in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+        row = self.rows[np.searchsorted(self.keys, unit)][back] if len(unit) else np.empty(0, np.int64)
+        close = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        ends = np.searchsorted(start, close)
+        row = np.insert(row, ends, 0)
+        size = self.size[row]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[row] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, upto[ends + np.arange(len(texts))]
+
+
+@cache
+def words_of(tokenizer: str) -> Words:
+    """One memory of words for all tasks of a Python worker."""
+    return Words(tokenizer)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each
     whole text, tokenised with the file ``tokenizer`` and closed by id 1.
 
     The tokenizer splits at white space, lower-cases, and splits letters from
-    marks, so a word's ids are looked up once per task and reused, and a word
-    of letters before marks is the ids of the two, one after the other."""
+    marks, so the ids of a word are looked up by its hash, and a word of letters
+    before marks is the ids of the two, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores busy
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        known: dict[bytes, bytes] = {}
-        cores: dict[str, bytes] = {}
-        closing = np.zeros(tok.get_vocab_size(), bool)
-        closing[[i for t, i in tok.get_vocab().items() if t.endswith(CLOSE)]] = True
-        end = END.to_bytes(4, "little")
-        step = 4 * capacity
-
-        def encode(text: str) -> np.ndarray:
-            return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-        def learn_cores(new: list[str]) -> None:
-            """Words of letters only, encoded in one go: each ends with the one
-            piece that closes a word."""
-            ids = encode(" ".join(new))
-            ends = np.flatnonzero(closing[ids]) + 1
-            if len(ends) == len(new):
-                raw, at = ids.tobytes(), (4 * ends).tolist()
-                cores.update(zip(new, map(raw.__getitem__, map(slice, [0, *at], at)), strict=False))
-            else:
-                cores.update((w, encode(w).tobytes()) for w in new)
-
-        def learn(words: set[bytes]) -> None:
-            if len(known) > REMEMBER:
-                known.clear()
-            if len(cores) > REMEMBER:
-                cores.clear()
-            parts = []
-            for w in words:
-                if w not in known:
-                    text = w.decode("utf-8", "replace")
-                    core = text.rstrip(MARKS)
-                    if core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha()):
-                        parts.append((w, core.lower() if core.isascii() else core, text[len(core) :]))
-                    else:
-                        known[w] = encode(text).tobytes()
-            if new := [c for c in {core for _, core, _ in parts} if c not in cores]:
-                learn_cores(new)
-            for mark in {m for _, _, m in parts}:
-                if mark not in cores:
-                    cores[mark] = encode(mark).tobytes()
-            known.update((w, cores[core] + cores[mark]) for w, core, mark in parts)
-
+        words = words_of(tokenizer)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for at in range(0, len(b), TEXTS):
-                texts = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in b["text"][at : at + TEXTS]]
-                learn(set().union(*texts))
-                for doc, words in zip(b["doc_id"][at : at + TEXTS].to_pylist(), texts, strict=True):
-                    ids = b"".join([*map(known.__getitem__, words), end])
-                    for k, first in enumerate(range(0, len(ids), step)):
-                        own = ids[first : first + step]
-                        for col, x in zip(out, (doc, k, first // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
+            docs = b["doc_id"].to_pylist()
+            for at, texts in grouped([(x.as_py() or "").encode("utf-8", "surrogatepass") for x in b["text"]], CHUNK):
+                ids, ends = words(texts)
+                out: list[list] = [[] for _ in types]
+                begin = 0
+                for doc, end in zip(docs[at : at + len(texts)], ends.tolist(), strict=True):
+                    for k, s in enumerate(range(begin, end, capacity)):
+                        own = ids[s : min(end, s + capacity)]
+                        for col, x in zip(out, (doc, k, s - begin, len(own), zlib.crc32(own), own.tobytes() if with_ids else None), strict=True):
                             col.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n])
+                    begin = end
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(out, types, names, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -168,7 +245,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return used, bound
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, eps: float = 0.1, most: int = 32) -> tuple[list[tuple[dict[int, int], int]], float]:
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 30, eps: float = 0.1, most: int = 32) -> tuple[list[tuple[dict[int, int], int]], float]:
     """(configuration, whole uses) that hold each length exactly as often as it
     is counted, and a lower bound on the sequences. ``lengths`` is ascending."""
     if not len(lengths):
@@ -193,7 +270,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 6
     pricer, value = Pricer(lengths, capacity), lengths.astype(float)
     while left.any():
         share = left / np.maximum(counts, 1)
-        for config in pricer.solve(value * (1 + 0.01 * share), left > 0, most):
+        for config in pricer.solve(value * (1 + 0.01 * share), left > 0, 8 * most):
             if any(left[i] < n for i, n in config.items()):
                 config = top_up({i: k for i, n in config.items() if (k := min(n, int(left[i])))}, left, lengths, capacity)
             if config:
