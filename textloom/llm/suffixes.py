@@ -20,12 +20,14 @@ bytes). The digits are
 4. the window itself, for the few contexts that are left (edges of passages).
 
 Whole copies of a smaller document are set aside first: all their windows
-repeat. Grams, contexts and windows are compared by 64-bit hashes. Each digit's rows
-are counted for distinct contexts, not for each copy, so a large group of copies
-costs its own rows and no more.
+repeat. Grams, contexts and windows are compared by 64-bit hashes, whole texts by
+SHA-256. A batch of texts sends two rows of a gram to be judged, of the least and
+of the largest of its documents that hold it, so a gram of very many documents is
+no large group; later digits are counted for distinct contexts, not for each copy,
+by grouped minima and maxima.
 
 Defined cases: null and empty texts, and texts shorter than a window, keep all
-their bytes; a null doc_id is compared with nothing; rows that repeat a doc_id
+their bytes; texts of any length are taken ``CHUNK`` bytes at a time; a null doc_id is compared with nothing; rows that repeat a doc_id
 are the same document and remove nothing from each other; an empty table gives
 an empty result; other columns of the input are ignored.
 """
@@ -37,81 +39,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-
-U = np.uint64
-BASE = 0xD6E8FEB86659FD93
-#: Windows of one text that are held at a time.
-CHUNK = 1 << 20
-
-
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A mixed polynomial hash of the k bytes at each place (wrapping)."""
-    with np.errstate(over="ignore"):
-        part = data.astype(U) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019)
-        part ^= part >> U(29)
-        size, out, done = 1, None, 0
-        while k:
-            if k & 1:
-                if out is None:
-                    out, done = part, size
-                else:
-                    n = len(data) - done - size + 1
-                    out, done = out[:n] * U(pow(BASE, size, 1 << 64)) + part[done : done + n], done + size
-            k >>= 1
-            if k:
-                n = len(data) - 2 * size + 1
-                part, size = part[:n] * U(pow(BASE, size, 1 << 64)) + part[size : size + n], 2 * size
-        out = (out ^ out >> U(32)) * U(BASE)
-        return out ^ out >> U(32)
-
-
-def anchors(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows of ``width`` grams: where each run of windows with one
-    anchor begins, and the anchor (the leftmost least hash) of each run."""
-    value, place, size = x, np.arange(len(x)), 1
-    while size < width:
-        step = min(size, width - size)
-        left, right = value[: len(value) - step], value[step:]
-        first = left <= right
-        value, place = np.where(first, left, right), np.where(first, place[: len(place) - step], place[step:])
-        size += step
-    start = np.flatnonzero(np.diff(place, prepend=-1))
-    return start, place[start]
-
-
-def parts(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first window, bytes) of CHUNK windows at a time."""
-    for at in range(0, len(data) - depth + 1, CHUNK):
-        yield at, data[at : at + CHUNK + depth - 1]
-
-
-def raw(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+from .hashing import BASE, VALUE, Powers, U, mixed
+
+#: Bytes of texts that are taken together.
+CHUNK = 1 << 19
+#: Low bits of an ordering value that hold the place of the gram.
+PLACE = U((1 << 24) - 1)
+
+
+class Bytes:
+    """Bytes whose substrings are hashed by differences of one running sum."""
+
+    def __init__(self, data: np.ndarray, powers: Powers):
+        up, self.down = powers.upto(len(data) + 1)
+        self.run = np.zeros(len(data) + 1, U)
+        np.cumsum(VALUE[data] * up[:-1], dtype=U, out=self.run[1:])
+
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of the k bytes at each place."""
+        n = max(0, len(self.run) - k)
+        return mixed((self.run[k:] - self.run[:n]) * self.down[:n])
+
+    def spans(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The hash of the bytes from start to end, with a number."""
+        return mixed(mixed((self.run[end] - self.run[start]) * self.down[start]) + salt.astype(U) * U(BASE))
+
+
+class Piece:
+    """Texts of one group laid end to end; ``doc`` is the number of each part's
+    text, ``first`` its first byte there and ``begin`` its place here."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], depth: int, k: int, powers: Powers):
+        self.raw = b"".join(p[2] for p in parts)
+        self.doc, self.first = (np.array([p[i] for p in parts], np.int64) for i in (0, 1))
+        size = np.array([len(p[2]) for p in parts], np.int64)
+        self.begin = np.cumsum(size) - size
+        self.bytes = Bytes(np.frombuffer(self.raw, np.uint8), powers)
+        x = self.bytes.grams(k)
+        value, width, done = (x & ~PLACE) | np.arange(len(x), dtype=U), depth - k + 1, 1
+        while done < width:
+            step = min(done, width - done)
+            value = np.minimum(value[: len(value) - step], value[step:])
+            done += step
+        anchor = (value & PLACE).astype(np.int64)
+        edge = np.zeros(len(value) + 1, np.int8)
+        long = size >= depth
+        edge[self.begin[long]] += 1
+        edge[(self.begin + size - depth + 1)[long]] -= 1
+        valid = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        same = (anchor[1:] == anchor[:-1]) & valid[1:] & valid[:-1]
+        here = np.concatenate([[True], ~same])[: len(value)]
+        after = np.concatenate([~same, [True]])[: len(value)]
+        # runs of windows with one anchor
+        self.start, self.end = np.flatnonzero(valid & here), np.flatnonzero(valid & after) + 1
+        self.anchor = anchor[self.start]
+        self.gram = x[self.anchor]
+        self.part = np.searchsorted(self.begin, self.start, side="right") - 1
+
+
+def raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def laid(texts: pa.Array, depth: int, k: int, powers: Powers) -> Iterator[Piece]:
+    """The texts in groups of about CHUNK bytes; a longer text in several parts
+    that overlap by a window."""
+    own, size = [], 0
+    for i, x in enumerate(texts):
+        data = raw(x.as_py())
+        for at in range(0, len(data) - depth + 1, CHUNK):
+            part = data[at : at + CHUNK + depth - 1]
+            if own and size + len(part) > CHUNK:
+                yield Piece(own, depth, k, powers)
+                own, size = [], 0
+            own.append((i, at, part))
+            size += len(part)
+    if own:
+        yield Piece(own, depth, k, powers)
 
 
 def gram_rows(docs: DataFrame, depth: int, k: int) -> DataFrame:
-    """(gram, doc): the anchors' grams, each once per document."""
+    """(gram, doc, salt): the anchors' grams, once per document. Of the documents
+    of one group of texts that share a gram only the least and the largest have
+    salt 0; the others are known to share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
-            grams, ids = [], []
-            for doc, text in zip(b["doc"].to_pylist(), b["text"], strict=True):
-                own = []
-                for _, data in parts(raw(text.as_py()), depth):
-                    x = gram_hashes(data, k)
-                    own.append(x[anchors(x, depth - k + 1)[1]])
-                if own:
-                    grams.append(np.unique(np.concatenate(own)))
-                    ids.append(np.full(len(grams[-1]), doc))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids))], ["gram", "doc"])
+            ids = b["doc"].to_numpy(zero_copy_only=False)
+            for p in laid(b["text"], depth, k, powers):
+                gram, doc = p.gram, ids[p.doc[p.part]]
+                order = np.lexsort((doc, gram))
+                gram, doc = gram[order], doc[order]
+                other = np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(doc) != 0)])
+                gram, doc = gram[other], doc[other]
+                edge = np.concatenate([[True], np.diff(gram) != 0, [True]])
+                inner = ~(edge[:-1] | edge[1:])
+                salt = np.where(inner, (mixed(doc.view(U)) >> U(34)).astype(np.int32) + 1, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array(salt.astype(np.int32))], ["gram", "doc", "salt"])
+
+    return docs.mapInArrow(run, "gram long, doc long, salt int")
+
+
+def taken(data: bytes, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary column of pieces of ``data``."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
+    body = np.frombuffer(data, np.uint8)[at]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
+
 
-    return docs.mapInArrow(run, "gram long, doc long")
+def content(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where each value begins and the last
+    ends."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    return np.frombuffer(body, np.uint8)[: offsets[-1]] if body else np.empty(0, np.uint8), offsets
+
+
+def numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b[n].to_numpy(zero_copy_only=False) for n in names]
 
 
 def context_rows(docs: DataFrame, depth: int, k: int) -> DataFrame:
@@ -119,29 +171,21 @@ def context_rows(docs: DataFrame, depth: int, k: int) -> DataFrame:
     anchor's gram is in the document's list ``grams``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "context", "doc", "start", "n", "at", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        powers = Powers()
+        key = lambda gram, i: mixed(gram ^ mixed(i.astype(U) + U(1)))
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, text, grams in zip(b["doc"].to_pylist(), b["text"], b["grams"], strict=True):
-                wanted = np.sort(grams.values.to_numpy(zero_copy_only=False).view(U))
-                whole = raw(text.as_py())
-                line = whole.tobytes()
-                for first, data in parts(whole, depth):
-                    x = gram_hashes(data, k)
-                    start, anchor = anchors(x, depth - k + 1)
-                    end = np.append(start[1:], len(data) - depth + 1)
-                    gram = x[anchor]
-                    hit = wanted[np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)] == gram
-                    for g, s, e, a in zip(gram[hit].view(np.int64).tolist(), start[hit].tolist(), end[hit].tolist(), anchor[hit].tolist(), strict=True):
-                        own = line[first + s : first + e + depth - 1]
-                        context = xxhash.xxh64_intdigest(own, a - s) - (1 << 63)
-                        for col, v in zip(out, (g, context, doc, first + s, e - s, a - s, own), strict=True):
-                            col.append(v)
-                    if len(out[0]) > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                        out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            (ids,) = numbers(b, "doc")
+            lists = b["grams"]
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            wanted = np.sort(key(lists.flatten().to_numpy(zero_copy_only=False).view(U), np.repeat(np.arange(len(size)), size)))
+            for p in laid(b["text"], depth, k, powers):
+                own = key(p.gram, p.doc[p.part])
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own)
+                start, end, anchor, part = p.start[hit], p.end[hit], p.anchor[hit], p.part[hit]
+                stop = end + depth - 1
+                context = p.bytes.spans(start, stop, anchor - start)
+                cols = [p.gram[hit].view(np.int64), context.view(np.int64), ids[p.doc[part]], p.first[part] + start - p.begin[part], (end - start).astype(np.int32), (anchor - start).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), taken(p.raw, start, stop - start)], ["gram", "context", "doc", "start", "n", "at", "bytes"])
 
     return docs.mapInArrow(run, "gram long, context long, doc long, start long, n int, at int, bytes binary")
 
@@ -151,16 +195,17 @@ def halves(contexts: DataFrame, depth: int, k: int) -> DataFrame:
     more = (depth - k) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for context, least, at, data in zip(*(b[c].to_pylist() for c in ("context", "least", "at", "bytes")), strict=True):
-                for side, s, e in ((0, at - more, at + k), (1, at, at + k + more)):
-                    if s >= 0 and e <= len(data):
-                        for col, v in zip(out, (xxhash.xxh64_intdigest(data[s:e], side) - (1 << 63), context, least, side), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["half", "context", "least", "side"])
+            data, offset = content(b["bytes"])
+            own = Bytes(data, powers)
+            context, least, at = numbers(b, "context", "least", "at")
+            for side, s, e in ((0, at - more, at + k), (1, at, at + k + more)):
+                ok = np.flatnonzero((s >= 0) & (e <= np.diff(offset)))
+                half = own.spans(offset[ok] + s[ok], offset[ok] + e[ok], np.full(len(ok), side))
+                yield pa.RecordBatch.from_arrays([pa.array(half.view(np.int64)), pa.array(context[ok]), pa.array(least[ok]), pa.array(np.full(len(ok), side, np.int8))], ["half", "context", "least", "side"])
 
-    return contexts.select("context", "least", "at", "bytes").mapInArrow(run, "half long, context long, least long, side long")
+    return contexts.select("context", "least", "at", "bytes").mapInArrow(run, "half long, context long, least long, side byte")
 
 
 def windows(contexts: DataFrame, depth: int, k: int) -> DataFrame:
@@ -169,29 +214,33 @@ def windows(contexts: DataFrame, depth: int, k: int) -> DataFrame:
     more = (depth - k) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for context, least, n, at, data, sides in zip(*(b[c].to_pylist() for c in ("context", "least", "n", "at", "bytes", "sides")), strict=True):
-                for i in range(n):
-                    if (0 if at - i >= more else 1) in sides:
-                        for col, v in zip(out, (xxhash.xxh64_intdigest(data[i : i + depth]) - (1 << 63), context, least, i), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["window", "context", "least", "i"])
+            data, offset = content(b["bytes"])
+            own = Bytes(data, powers)
+            context, least, n, at, left, right = numbers(b, "context", "least", "n", "at", "left", "right")
+            of = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            ok = np.where(at[of] - i >= more, left[of], right[of]).astype(bool)
+            of, i = of[ok], i[ok]
+            begin = offset[of] + i
+            window = own.spans(begin, begin + depth, np.zeros(len(of)))
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(context[of]), pa.array(least[of]), pa.array(i.astype(np.int8))], ["window", "context", "least", "i"])
 
-    rows = contexts.select("context", "least", "n", "at", "bytes", "sides")
-    return rows.mapInArrow(run, "window long, context long, least long, i long")
+    rows = contexts.select("context", "least", "n", "at", "bytes", "left", "right")
+    return rows.mapInArrow(run, "window long, context long, least long, i byte")
 
 
-def shared(rows: DataFrame, digit: str, doc: str) -> DataFrame:
-    """The rows whose digit occurs in two documents or more."""
-    own = Window.partitionBy(digit)
-    rows = rows.withColumn("lo", F.min(doc).over(own)).withColumn("hi", F.max(doc).over(own))
-    return rows.where("lo < hi").drop("lo", "hi")
+def shared(rows: DataFrame, digit: str) -> DataFrame:
+    """The rows of a written table whose digit occurs under two least documents
+    or more."""
+    several = rows.groupBy(digit).agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select(digit)
+    return rows.join(several, digit)
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc): documents whose whole text a smaller document has, too."""
-    hashed = docs.select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    hashed = scratch.keep(docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha")), "digests")
     first = hashed.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     found = hashed.join(first, "sha", "left").groupBy("doc").agg(F.min(F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).alias("copy"))
     return found.where("copy").select("doc")
@@ -200,20 +249,22 @@ def copies(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     """(doc, start, mask): bit i is set if the window at start + i also starts
     in a document with a smaller id. ``docs``: doc, text."""
-    grams = scratch.keep(shared(gram_rows(docs, depth, k), "gram", "doc"), "grams")
+    own = Window.partitionBy("gram", "salt")
+    grams = gram_rows(docs, depth, k).withColumn("lo", F.min("doc").over(own)).withColumn("hi", F.max("doc").over(own))
+    grams = scratch.keep(grams.where("salt > 0 or lo < hi").select("gram", "doc"), "grams")
     by_doc = grams.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
     found = scratch.keep(context_rows(docs.join(by_doc, "doc"), depth, k), "contexts")
     scratch.drop(grams)
 
-    least = scratch.keep(found.groupBy("context").agg(F.min("doc").alias("least"), F.min("gram").alias("gram")), "least")
-    open_ = scratch.keep(shared(least, "gram", "least").select("context", "least"), "shared")
-    first = found.join(open_, "context").where("doc = least").dropDuplicates(["context"])
-    first = scratch.keep(first.select("context", "least", "n", "at", "bytes"), "open")
+    any_of = [F.first(c).alias(c) for c in ("gram", "n", "at", "bytes")]  # alike in all rows of a context
+    least = scratch.keep(found.groupBy("context").agg(F.min("doc").alias("least"), *any_of), "least")
     runs = scratch.keep(found.select("context", "doc", "start", "n"), "runs")
     scratch.drop(found)
+    first = scratch.keep(shared(least, "gram").select("context", "least", "n", "at", "bytes"), "open")
 
-    sides = shared(halves(first, depth, k), "half", "least").groupBy("context").agg(F.collect_set("side").alias("sides"))
-    sides = scratch.keep(sides, "sides")
+    sides = scratch.keep(halves(first, depth, k), "halves")
+    side = lambda i: F.max(F.col("side") == i)
+    sides = scratch.keep(shared(sides, "half").groupBy("context").agg(side(0).alias("left"), side(1).alias("right")), "sides")
     edges = scratch.keep(windows(first.join(sides, "context"), depth, k), "windows")
     scratch.drop(first)
     earlier = edges.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("last")).where("before < last")
@@ -222,26 +273,26 @@ def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     marks = scratch.keep(marks.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks")
     scratch.drop(edges)
 
-    known = least.join(marks, "context", "left").select("context", "least", "mark")
+    known = least.select("context", "least").join(marks, "context", "left")
     whole = F.expr("shiftleft(1L, n) - 1")
     rows = runs.join(known, "context")
     rows = rows.withColumn("mask", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mark", F.lit(0))))
     return scratch.keep(rows.where("mask <> 0").select("doc", "start", "mask"), "repeats")
 
 
-def kept_bytes(data: bytes, starts: list[int], masks: list[int], depth: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes left of a text, and its maximal removed runs (start, end)."""
-    step = np.zeros(len(data) + 1, np.int32)
-    for start, mask in zip(starts, masks, strict=True):
-        while mask:
-            i = (mask & -mask).bit_length() - 1
-            run = (~(mask >> i) & ((mask >> i) + 1)).bit_length() - 1
-            step[start + i] += 1
-            step[start + i + run + depth - 1] -= 1
-            mask &= ~(((1 << run) - 1) << i)
-    gone = np.cumsum(step[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+def removed(starts: np.ndarray, depth: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that windows at these places cover."""
+    if not len(starts):
+        return []
+    starts = np.unique(starts)
+    cut = np.flatnonzero(np.diff(starts) > depth) + 1
+    return list(zip(starts[np.concatenate([[0], cut])].tolist(), (starts[np.append(cut, len(starts)) - 1] + depth).tolist(), strict=True))
+
+
+def places(starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Every place start + i whose bit i is set."""
+    of, i = np.nonzero(np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return starts[of] + i
 
 
 def without_repeats(docs: DataFrame, depth: int = 50, k: int = 20) -> DataFrame:
@@ -252,24 +303,27 @@ def without_repeats(docs: DataFrame, depth: int = 50, k: int = 20) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = rows.where("doc is not null")
-    whole = scratch.keep(copies(named), "copies")
+    whole = scratch.keep(copies(named, scratch), "copies")
     found = repeats(named.join(whole, "doc", "left_anti"), scratch, depth, k)
-    marks = found.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("marks"), F.lit(False).alias("copy"))
+    marks = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"), F.lit(False).alias("copy"))
     marks = marks.unionByName(whole.select("doc", F.lit(True).alias("copy")), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, marks, copy in zip(b["text"], b["marks"].to_pylist(), b["copy"].to_pylist(), strict=True):
-                data = raw(text.as_py()).tobytes()
-                if copy and len(data) >= depth:
-                    marks = [{"start": i, "mask": 1} for i in (*range(0, len(data) - depth, depth), len(data) - depth)]
-                kept, spans = kept_bytes(data, [m["start"] for m in marks or ()], [m["mask"] for m in marks or ()], depth)
-                row = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans])
-                for col, v in zip(out, row, strict=True):
+            for text, starts, masks, copy in zip(b["text"], b["starts"], b["masks"], b["copy"].to_pylist(), strict=True):
+                data = raw(text.as_py())
+                runs = [(0, len(data))] if copy and len(data) >= depth else []
+                if starts.values is not None and not copy:
+                    runs = removed(places(*(x.values.to_numpy(zero_copy_only=False) for x in (starts, masks))), depth)
+                cuts = [0, *(x for r in runs for x in r), len(data)]
+                kept = b"".join(data[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True))
+                for col, v in zip(out, (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs), strict=True):
                     col.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([b["doc"], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            spans = pa.array([[{"start": s, "end": e} for s, e in r] for r in out[4]], span)
+            cols = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()], strict=False)]
+            yield pa.RecordBatch.from_arrays([b["doc"], *cols, spans], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     return rows.join(marks, "doc", "left").mapInArrow(run, schema)
