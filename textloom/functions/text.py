@@ -62,6 +62,16 @@ def contraction_dictionary() -> dict[str, str]:
     return out
 
 
+def negative_contractions() -> list[str]:
+    """The entries whose long form says not."""
+    return [short for short, long in contraction_dictionary().items() if "not" in long]
+
+
+def contraction_statistics() -> tuple[int, int]:
+    """Entries of the dictionary, and how many of them negate."""
+    return len(contraction_dictionary()), len(negative_contractions())
+
+
 def bounded(words: str, start: str = "a") -> str:
     """The pattern between ASCII word boundaries; ``start`` is its first
     character, and it ends with a letter. Only the side that can hold is looked

@@ -84,13 +84,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("op_prepare_dataset", f"WITH {data.KEYED}, {data.COUNTS}, b AS (SELECT id, label, k FROM numbered WHERE r <= (SELECT min(n) FROM counts) OR (SELECT min(n) >= 0.95 * max(n) FROM counts)), m AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k, id) AS r, count(*) OVER (PARTITION BY label) AS n FROM b) SELECT CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split, label, count(*) AS n FROM m GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    """Balance, split and write by part; read the parts again."""
-    from ..operators import sampling
+    """Load, balance, split and write by part with a manifest; a second call finds
+    the manifest and the parts are read again."""
+    from ..plans import workflow
 
     at = shared_path(t.spark, "prepared")
-    balanced = sampling.undersample(t.samples, data.SEED, "id")
-    sampling.stratified_split(balanced, 0.8, 0.0, 0.2, data.SEED, "id").write.partitionBy("split").parquet(at)
-    return t.spark.read.parquet(at).groupBy("split", "label").agg(F.count("*").alias("n"))
+    workflow.prepare(t.samples, at, "all", seed=data.SEED)
+    workflow.prepare(t.samples.limit(0), at, "all", seed=data.SEED)
+    return workflow.parts(t.spark, at).groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
 LOGGED = "SELECT event_id % 100 AS part, count(*) AS n, CAST(sum(processing_time_ms) AS BIGINT) AS ms, count(DISTINCT CAST(ts AS DATE)) AS days FROM predictions GROUP BY 1"
@@ -122,9 +123,8 @@ def _(t: Tables) -> DataFrame:
 @query("op_log_retention", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS dt FROM events) SELECT CAST(dt AS VARCHAR) AS dt FROM d WHERE dt < (SELECT max(dt) FROM d) - 7")
 def _(t: Tables) -> DataFrame:
     days = t["events"].select(F.to_date("ts").alias("dt")).distinct()
-    last = days.agg(F.max("dt").alias("last"))
-    old = days.join(F.broadcast(last)).where(F.col("dt") < F.date_sub("last", 7))
-    return old.select(F.col("dt").cast("string").alias("dt"))
+    last = F.lit(days.agg(F.max("dt")).first()[0])
+    return predictions.expired(days, last).select(F.col("dt").cast("string").alias("dt"))
 
 
 def metadata_files(t: Tables) -> str:

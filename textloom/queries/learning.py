@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..adapters import Tables
 from ..functions.basic import rounded
 from ..operators import evaluation
-from ..plans import models
+from ..plans import models, workflow
 from ..registry import query
-from ..sources import shared_path
+from ..sources import exists, shared_path
 from ..streaming import jobs
 from . import metrics
 
@@ -53,8 +55,6 @@ query("ml_random_forest")(trained("random_forest"))
 def _(t: Tables) -> DataFrame:
     """Margin, probability and label of the test rows."""
     train, held, test = prepared(t)
-    from pyspark.ml.functions import vector_to_array
-
     out = models.scored(models.fit(train, "svm", held, **OPTIONS), test)
     return out.select("id", vector_to_array(F.col("margin"))[0].alias("margin"), "prob", "y")
 
@@ -79,8 +79,6 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Largest and smallest scaled value per row: inside 0..1."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
     train, _, test = prepared(t)
     out = Pipeline(stages=models.vectorizer(1000)).fit(train).transform(test)
     v = vector_to_array(F.col("features"))
@@ -109,29 +107,71 @@ def _(t: Tables) -> DataFrame:
 
 @query("ml_train_report")
 def _(t: Tables) -> DataFrame:
-    """Split, fit, evaluate, save, load and judge again: the same figures."""
+    """Split, fit, try out, evaluate, save with metadata, load and judge again:
+    the same figures."""
     train, held, test = prepared(t)
     model = models.fit(train, "logistic_regression", held, **OPTIONS)
-    at = shared_path(t.spark, "model")
-    model.write().save(at)
-    from pyspark.ml import PipelineModel
-
-    a, b = judged(models.scored(model, test)), judged(models.scored(PipelineModel.load(at), test))
+    workflow.try_out(model, train).collect()
+    a = judged(models.scored(model, test))
     sizes = train.agg(F.count("*").alias("train_rows"))
+    at, figures = shared_path(t.spark, "model"), a.select("accuracy", "macro_f1").first().asDict()
+    workflow.save(model, at, t.spark, "logistic_regression", "all", sizes.first()[0], figures)
+    b = judged(models.scored(workflow.load(t.spark, at, "logistic_regression")[0], test))
     return a.withColumn("run", F.lit("fitted")).unionByName(b.withColumn("run", F.lit("loaded"))).join(F.broadcast(sizes))
 
 
+@query("ml_transform_consistency")
+def _(t: Tables) -> DataFrame:
+    """Per split: rows, features and known terms of the pipeline fitted on train."""
+    from pyspark.ml import Pipeline
+
+    splits = dict(zip(("train", "validation", "test"), prepared(t), strict=True))
+    fitted = Pipeline(stages=models.vectorizer(terms=models.class_terms(splits["train"], models.FEATURES))).fit(splits["train"])
+    known = F.array_intersect(F.array_distinct("terms"), F.array(*map(F.lit, fitted.stages[0].vocabulary[:100])))
+    out = None
+    for name, rows in splits.items():
+        rows = fitted.transform(rows).select(F.lit(name).alias("split"), F.size(vector_to_array("features")).alias("width"), F.size(known).alias("frequent"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("split", "width").agg(F.count("*").alias("n"), F.sum("frequent").alias("frequent"))
+
+
+CROSS = ("naive_bayes", "logistic_regression")
+
+
+def crossed(t: Tables) -> DataFrame:
+    """Scores of every test row under each algorithm fitted on each domain."""
+    train, held, test = prepared(t)
+    at = shared_path(t.spark, "cross")
+    workflow.cross_scores(train, test, CROSS, held, **OPTIONS)[0].write.parquet(at)
+    return t.spark.read.parquet(at)
+
+
+@query("ml_cross_domain")
+def _(t: Tables) -> DataFrame:
+    """The matrix of real fits: algorithm and training domain by test domain."""
+    return evaluation.cross_domain(crossed(t), "algorithm", "train_domain", "test_domain")
+
+
+@query("ml_promote_best")
+def _(t: Tables) -> DataFrame:
+    """The best algorithm on other domains, fitted anew on all training rows and
+    stored; its line and what the stored metadata say."""
+    train, _, _ = prepared(t)
+    at = shared_path(t.spark, "production")
+    best = workflow.promote(crossed(t), train, at, **OPTIONS)
+    _, info = workflow.load(t.spark, at)
+    return best.withColumn("stored", F.lit(info["model_info"]["algorithm"])).withColumn("rows", F.lit(info["training_data"]["train_samples"]))
+
+
 @query("model_save_load")
 def _(t: Tables) -> DataFrame:
     """Rows whose probability the loaded model changes: none."""
-    from pyspark.ml import PipelineModel
-
     train, held, test = prepared(t)
     model = models.fit(train, "svm", held, **OPTIONS)
     at = shared_path(t.spark, "model")
-    model.write().save(at)
+    workflow.save(model, at, t.spark, "svm", "all", train.count())
     a = models.scored(model, test).select("id", "prob")
-    b = models.scored(PipelineModel.load(at), test).select("id", F.col("prob").alias("again"))
+    b = models.scored(workflow.load(t.spark, at, "svm")[0], test).select("id", F.col("prob").alias("again"))
     return a.join(b, "id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prob") - F.col("again")) > 1e-12).alias("changed"))
 
 
@@ -163,21 +203,30 @@ def streamed(t: Tables) -> Tables:
     return out
 
 
-def run(df: DataFrame, mode: str, t: Tables, name: str) -> DataFrame:
-    """Run a stream over all that is there; the rows of its last state."""
-    at = shared_path(t.spark, name)
+def run(df: DataFrame, mode: str, spark: SparkSession, name: str, key: str | None = None) -> DataFrame:
+    """Run a stream over all that is there, each batch in a folder of its own (a
+    repeated batch replaces it). Of the mode append all rows are returned, of
+    update the last row of each ``key``, of complete the last batch."""
+    at = shared_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(f"{at}/rows")
+    if not exists(spark, f"{at}/rows"):
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(StructType([*df.schema, StructField("batch", LongType())])).parquet(f"{at}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "batch").alias("last")).select(key, "last.*")
+    return rows.select(df.columns)
 
 
 @query("stream_metrics", "SELECT strftime(time_bucket(INTERVAL 5 minutes, ts), '%Y-%m-%d %H:%M:%S') AS start, model_version, count(*) AS total, count_if(predicted_label = 'positive') AS positive, count_if(predicted_label = 'negative') AS negative, count_if(confidence < 0.6) AS low_confidence, round(avg(confidence), 6) AS mean_confidence FROM predictions GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    out = run(jobs.metrics(streamed(t).predictions), "complete", t, "metrics")
+    out = run(jobs.metrics(streamed(t).predictions), "complete", t.spark, "metrics")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "model_version", "total", "positive", "negative", "low_confidence", rounded(F.col("mean_confidence")).alias("mean_confidence"))
 
 
@@ -194,7 +243,7 @@ def _(t: Tables) -> DataFrame:
     q = rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     kept = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/rows/*")
-    out = run(jobs.drift(kept, metrics.N, metrics.M), "update", t, "drift")
+    out = run(jobs.drift(kept, metrics.N, metrics.M), "update", t.spark, "drift", "model_version")
     return metrics.six(out, "prediction_psi", "confidence_psi")
 
 
@@ -214,10 +263,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("stream_dropped_counts", "SELECT count(*) AS logged, CAST(0 AS BIGINT) AS dropped FROM predictions")
 def _(t: Tables) -> DataFrame:
+    """Rows read back from the log, and rows that the job counted as dropped."""
     at, progress = logged(t)
-    dropped = sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators)
     rows = t.spark.read.schema("event_id LONG").json(at)
-    return rows.agg(F.count("*").alias("logged"), F.lit(dropped).cast("long").alias("dropped"))
+    return rows.agg(F.count("*").alias("logged"), F.lit(jobs.log_counts(progress)[1]).cast("long").alias("dropped"))
 
 
 @query("stream_score")
@@ -228,6 +277,6 @@ def _(t: Tables) -> DataFrame:
     docs = t.spark.readStream.schema(t["documents"].schema).parquet(f"{t.sf_dir}/documents.parquet*")
     texts = models.with_terms(docs.select("doc_id", "text")).select("doc_id", "terms")
     out = jobs.score(texts, lambda df: models.scored(model, df), 0.6)
-    return run(out.select("doc_id", "label", "confidence", "warning"), "append", t, "scores")
+    return run(out.select("doc_id", "label", "confidence", "warning"), "append", t.spark, "scores")
 
 

@@ -106,6 +106,14 @@ def _(t: Tables) -> DataFrame:
     return t.decorated.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
+@query("op_contraction_totals", "SELECT count(*) AS uses, count_if(regexp_matches(w, 'n.?t$') OR w IN ('cannot')) AS negative FROM (SELECT unnest(regexp_extract_all(lower(text), " + q(O.ANY_CONTRACTION) + ")) AS w FROM decorated)")
+def _(t: Tables) -> DataFrame:
+    """Uses of contractions in the corpus, and of those that negate."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(T.ANY_CONTRACTION), F.lit(0))
+    rows = t.decorated.select(F.explode(found).alias("w"))
+    return rows.agg(F.count("*").alias("uses"), F.count_if(F.col("w").isin(*T.negative_contractions())).alias("negative"))
+
+
 @query("op_clean_text", f"WITH {O.CLEAN} SELECT doc_id, text FROM cleaned")
 def _(t: Tables) -> DataFrame:
     return t.decorated.select("doc_id", T.clean_text(F.col("text")).alias("text"))
@@ -118,11 +126,10 @@ def _n(p: str) -> str:
 @query(
     "op_cleaning_metrics",
     f"SELECT {_n(T.URL)} AS urls, {_n(chr(92) + 'b' + T.EMAIL + chr(92) + 'b')} AS emails, {_n(T.MENTION)} AS mentions, {_n(T.HASHTAG)} AS hashtags, {_n(T.HTML)} AS tags, {_n(T.HAPPY)} AS happy, {_n(T.SAD)} AS sad,"
-    f" count_if(regexp_matches(text, {q(O.ANY_CONTRACTION)})) AS has_contractions FROM decorated",
+    f" count_if(regexp_matches(text, {q(O.ANY_CONTRACTION)})) AS has_contractions, count_if({O.squeeze('text')} <> text) AS has_repeats FROM decorated",
 )
 def _(t: Tables) -> DataFrame:
     counts = T.cleaning_counts(F.col("text"))
-    counts.pop("has_repeats")
     return t.decorated.select(*[c.alias(n) for n, c in counts.items()]).agg(*[F.sum(n).alias(n) for n in counts])
 
 
