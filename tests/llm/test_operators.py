@@ -191,13 +191,51 @@ def test_packing_hard_sizes():
 
 
 def brute_leaks(text, item, width, least):
-    a, b = decontam.words_of(text), decontam.words_of(item)
-    if not len(b):
+    """On strings, sharing nothing with the operator."""
+    split = lambda t: (t or "").encode().lower().split()
+    grams = lambda ws, w: [tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)]
+    a, b = split(text), split(item)
+    if not b:
         return False
     w = min(width, len(b))
-    target, s = Counter(decontam.shingles(b, w).tolist()), decontam.shingles(a, w)
+    target, own = Counter(grams(b, w)), grams(a, w)
     m = len(b) - w + 1
-    return any(decontam.weighted_jaccard(Counter(s[i : i + m].tolist()), target) >= least for i in range(max(1, len(s) - m + 1))) if len(s) else False
+    for i in range(max(1, len(own) - m + 1)):
+        window = Counter(own[i : i + m])
+        both = (window & target).total()
+        if both and both / (window | target).total() >= least:
+            return True
+    return False
+
+
+def test_decontamination_recall(spark):
+    """Leaks just at the threshold are met through the index alone."""
+    rng = random.Random(31)
+    items = [(i, words(rng, rng.choice([40, 60, 90]), 5000)) for i in range(40)]
+    docs = []
+    for _, item in items:
+        for share in (0.0, 0.1):
+            ws = item.split()
+            for p in range(2, int(len(ws) * share * 0.22) + 2 if share else 2):
+                ws[p * len(ws) // 12] = "edited"
+            docs.append(f"{words(rng, 30, 5000)} {' '.join(ws)} {words(rng, 25, 5000)}")
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, k) for r in decontam.flagged(d, b).collect() for k in r.item_ids}
+    want = {(i, k) for i, t in enumerate(docs) for k, item in items if brute_leaks(t, item, 5, 0.8)}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) >= 60
+
+
+def test_multi_index_is_complete_within_its_radius():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 64, 300, np.uint64)
+    asked = prints[rng.integers(0, 300, 400)].copy()
+    for i in range(400):
+        for bit in rng.choice(64, i % 26, replace=False):
+            asked[i] ^= np.uint64(1 << int(bit))
+    index = decontam.Multi(list(range(1000, 1300)), prints)
+    got = set(zip(*(x.tolist() for x in index.near(asked)), strict=True))
+    assert got == {(i, 1000 + j) for i in range(400) for j in range(300) if (int(asked[i]) ^ int(prints[j])).bit_count() <= decontam.RADIUS}
 
 
 def test_decontamination(spark):
@@ -539,6 +577,27 @@ def test_sharding_cuts_a_hot_group(spark):
     assert len(b) == 10 and max(b) - min(b) <= 400
 
 
+def test_written_shards_keep_every_row(spark):
+    data = [(1, "a", 5, "x"), (1, "a", 5, "x"), (1, "a", 6, "y"), (None, "b", 1, "z"), (None, None, 2, "z"), (2, "", 3, None)] + [(i, f"t{i} " * (i % 9), i, "k") for i in range(3, 40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, key int, slot string")
+    at = Scratch(spark, "t").path("shards")
+    sharding.write_shards(df, at, 4)
+    back = spark.read.parquet(at)
+    assert Counter((r.doc_id, r.text, r.key) for r in back.collect()) == Counter(r[:3] for r in data)
+    slots = {}
+    for r in back.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    long = " ".join(f"word{i % 97}x{i}" for i in range(80))
+    df = spark.createDataFrame([(None, long, "en", 1), (None, "short", "en", 2), (3, long + " more", "en", 3), (3, "bad", "en", 4)], "doc_id long, text string, lang string, row int")
+    assert {r.row for r in quality.kept_documents(df, reach=50.0).collect()} == {1, 3}
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    assert {r.row for r in decontam.clean_documents(df, items).collect()} == {2, 4}
+
+
 # --- 10 -----------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ distributed connected-components routine.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-textloom-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
@@ -44,6 +47,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/textloom-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        atexit.register(self.remove)  # results are read from here while the session lasts
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -64,11 +68,19 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration() if sc._jsc is None else sc._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table written by ``keep`` that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.delete(df._scratch_path)
+
+    def remove(self) -> None:
+        """Delete all tables of the run, at the end of the driver's process."""
+        if self.spark.sparkContext._jvm is not None:
+            self.delete(self.root)
 
 
 #: Rows of a few numbers that may be broadcast; more are joined by a shuffle.

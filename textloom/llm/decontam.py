@@ -1,44 +1,55 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 For every benchmark item a window of the item's length in words slides over the
-text, and a window of similarity 0.8 or more counts as a leak. Windows that
-hold not a single shingle of the benchmark can't reach any similarity, so only
-stretches around shared shingles are looked at, which loses nothing. There each
-window's 64-bit SimHash over its weighted shingles (from running sums of bit
-votes) probes a multi-index: eight blocks of eight bits, each item entered
-under every value within two bits of its own block. Fingerprints that differ in
-at most 23 bits agree in some block up to two bits, so no item within that
-radius is missed; candidates within the radius are then verified exactly by the
-weighted Jaccard similarity of their shingle counts.
-
-Radius 23 holds far more than the expected 10 differing bits at similarity 0.8
-(weighted cosine 0.89, an angle of 27 of 180 degrees, deviation 3 bits).
-
-The benchmark is broadcast in blocks of at most ``block_items`` items and
-``block_bytes`` bytes, one pass over the documents for each block, so what is
-broadcast is bounded whatever the size of the benchmark.
+text, and a window of similarity 0.8 or more counts as a leak. Each window's
+64-bit SimHash over its weighted shingles (from running sums of bit votes)
+probes a multi-index of the items of its length: five blocks of 12 or 13 bits,
+each item entered under every value within three bits of its own block.
+Fingerprints that differ in at most 19 bits agree in some block up to three
+bits, so no item within that radius is missed, and a random fingerprint meets
+about a fifth of the items before its radius is tested. Candidates are then
+verified exactly by the weighted Jaccard similarity of their shingle counts.
+
+The candidates are those of the index alone. Only windows that hold not a single
+shingle of the whole benchmark are not probed: their similarity to any item is 0.
+
+Radius 19 lies three deviations above the 10 differing bits to be expected at
+similarity 0.8 (weighted cosine 0.89, an angle of 27 of 180 degrees, deviation 3
+bits), so a leak at exactly 0.8 is missed about once in seven hundred times, and a
+closer one less often.
+
+The benchmark is taken in blocks of at most ``block_items`` items and
+``block_bytes`` bytes, one pass over the documents and one broadcast for each
+block, released before the next, so what is broadcast is bounded whatever the
+size of the benchmark.
 
 Defined cases: items without a word match nothing; an item shorter than a
 shingle is one shingle of all its words, and so is a window of its length; a
-text shorter than the item is one window; null texts leak nothing; repeated
-rows each get a row; an empty table gives an empty result, and an empty
-benchmark finds nothing; other columns are ignored.
+text shorter than the item is one window; a text of any length is taken whole;
+null texts leak nothing; a row with a null doc_id is judged by its own text;
+repeated rows each get a row; of equally similar windows the first is told; an
+empty table gives an empty result, and an empty benchmark finds nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, looked_up, row_key
 from .hashing import Powers, word_hashes
 
-RADIUS, BLOCKS = 23, 8
+#: Where the blocks of bits begin and end, the bits in which an entry may differ
+#: from its item's, and the radius that is then complete.
+CUTS, FLIPS = (0, 13, 26, 39, 52, 64), 3
+RADIUS = (len(CUTS) - 1) * (FLIPS + 1) - 1
 #: Characters of texts that are looked up together.
 CHUNK = 1 << 20
 SHIFTS = np.arange(64, dtype=np.uint64)
@@ -83,8 +94,41 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
+def near_masks(bits: int, most: int) -> np.ndarray:
+    """Masks that flip at most ``most`` of the low bits."""
+    return np.array([sum(1 << x for x in own) for k in range(most + 1) for own in combinations(range(bits), k)], np.uint64)
+
+
+class Multi:
+    """The multi-index over the fingerprints of the items of one length: per block
+    of bits, every item under each value within FLIPS bits of its own."""
+
+    def __init__(self, items: list[int], prints: np.ndarray):
+        self.items, self.prints = np.array(items, np.int64), prints
+        self.blocks = []
+        for shift, bits in zip(CUTS, np.diff(CUTS).tolist(), strict=False):
+            mask = np.uint64((1 << bits) - 1)
+            keys = ((prints >> np.uint64(shift) & mask)[:, None] ^ near_masks(bits, FLIPS)).astype(np.int64)
+            order = np.argsort(keys.ravel(), kind="stable")
+            first = np.searchsorted(keys.ravel()[order], np.arange((1 << bits) + 1))
+            self.blocks.append((np.uint64(shift), mask, first, order // keys.shape[1]))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a given fingerprint, item) for all within RADIUS bits."""
+        pairs = []
+        for shift, mask, first, own in self.blocks:
+            key = (prints >> shift & mask).astype(np.int64)
+            size = first[key + 1] - first[key]
+            of = np.repeat(np.arange(len(key)), size)
+            at = np.arange(len(of)) + np.repeat(first[key] - (np.cumsum(size) - size), size)
+            pairs.append(of * len(self.items) + own[at])
+        of, own = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+        ok = np.bitwise_count(prints[of] ^ self.prints[own]) <= RADIUS
+        return of[ok], self.items[own[ok]]
+
+
 class Index:
-    """Items of one block: shingle counts, fingerprints and the multi-index."""
+    """Items of one block: shingle counts, and a multi-index per length."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.ids, self.sizes, self.counts, prints = [], [], [], []
@@ -96,21 +140,11 @@ class Index:
             self.sizes.append(len(words))
             self.counts.append(Counter(own.tolist()))
             prints.append(int(sketch(votes(own)[-1:])[0]))
-        self.prints = np.array(prints, np.uint64)
         self.grams = {w: np.unique(np.array([x for c, n in zip(self.counts, self.sizes, strict=True) if min(width, n) == w for x in c], np.uint64)) for w in {min(width, n) for n in self.sizes}}
-        near = [0, *(1 << i for i in range(8)), *(1 << i | 1 << j for i in range(8) for j in range(i))]
-        self.blocks: list[dict[int, list[int]]] = []
-        for k in range(BLOCKS):
-            table: dict[int, list[int]] = {}
-            for i, p in enumerate(prints):
-                for m in near:
-                    table.setdefault((p >> 8 * k & 255) ^ m, []).append(i)
-            self.blocks.append(table)
-
-    def near(self, print_: int) -> list[int]:
-        """Items whose fingerprint is within RADIUS of the given one."""
-        found = {i for k, t in enumerate(self.blocks) for i in t.get(print_ >> 8 * k & 255, ())}
-        return [i for i in found if (int(self.prints[i]) ^ print_).bit_count() <= RADIUS]
+        by_size: dict[int, list[int]] = {}
+        for i, n in enumerate(self.sizes):
+            by_size.setdefault(n, []).append(i)
+        self.multi = {n: Multi(own, np.array([prints[i] for i in own], np.uint64)) for n, own in by_size.items()}
 
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -174,18 +208,14 @@ def leaks(words: np.ndarray, index: Index, width: int, least: float) -> list[tup
             shared = np.cumsum(shared)
             for n in sizes:
                 m = min(n - w + 1, len(part))
-                # similarity s needs at least s * m shared shingles in the window
-                first = np.flatnonzero(shared[m:] - shared[:-m] >= least * m - 1e-9)
+                first = np.flatnonzero(shared[m:] > shared[:-m])
                 if not len(first):
                     continue
-                for s, p in zip(first.tolist(), sketch(sums[first + m] - sums[first]).tolist(), strict=True):
-                    near = [i for i in index.near(p) if index.sizes[i] == n]
-                    if near:
-                        count = Counter(part[s : s + m].tolist())
-                        for i in near:
-                            score = weighted_jaccard(count, index.counts[i])
-                            if score >= least and (i not in best or score > best[i][3]):
-                                best[i] = (i, lo + s, m + w - 1, score)
+                of, items = index.multi[n].near(sketch(sums[first + m] - sums[first]))
+                for s, i in zip(first[of].tolist(), items.tolist(), strict=True):
+                    score = weighted_jaccard(Counter(part[s : s + m].tolist()), index.counts[i])
+                    if score >= least and (i not in best or score > best[i][3]):
+                        best[i] = (i, lo + s, m + w - 1, score)
     return list(best.values())
 
 
@@ -204,11 +234,14 @@ def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Ite
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
-    """(row fields doc_id, item_id, first_word, n_words, similarity): one row
-    for each document and item that it leaks."""
+    """(row, doc_id, item_id, first_word, n_words, similarity): one row for each
+    text and item that it leaks; row is ``row_key`` of the text. The blocks run
+    one after another, each with its own pass, table and broadcast."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
+    scratch = Scratch(spark, "decontam")
+    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    schema = "row long, doc_id long, item_id long, first_word long, n_words long, similarity double"
+    names = ["row", "doc_id", "item_id", "first_word", "n_words", "similarity"]
     found = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark, block_items, block_bytes):
         given = spark.sparkContext.broadcast(block)
@@ -219,24 +252,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: f
                 out = []
                 for at, texts in groups(b["text"]):
                     for i, words in with_hits(texts, index, powers).items():
-                        doc = b["doc_id"][at + i].as_py()
-                        out += [(doc, index.ids[k], s, n, round(x, 6)) for k, s, n, x in leaks(words, index, width, least)]
-                cols = zip(*out, strict=True) if out else [[]] * 5
-                types = [pa.int64()] * 4 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
-
-        found = found.unionByName(rows.mapInArrow(run, schema))
+                        row, doc = b["row"][at + i].as_py(), b["doc_id"][at + i].as_py()
+                        out += [(row, doc, index.ids[k], s, n, round(x, 6)) for k, s, n, x in leaks(words, index, width, least)]
+                cols = zip(*out, strict=True) if out else [[]] * 6
+                types = [pa.int64()] * 5 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        found = found.unionByName(scratch.keep(rows.mapInArrow(run, schema), "leaks"))
+        given.destroy()
     return found
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, max_similarity) for each row of
     ``docs``; item_ids is ascending."""
-    found = Scratch(docs.sparkSession, "decontam").keep(contaminated(docs, benchmark, **options), "leaks")
-    by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).alias("d").join(by_doc.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    found = contaminated(docs, benchmark, **options)
+    by_row = found.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
+    by_row = Scratch(docs.sparkSession, "decontam").keep(by_row, "rows")
+    out = looked_up(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row")), by_row, "row", "left")
     return out.select(
-        "d.doc_id",
+        "doc_id",
         F.col("item_ids").isNotNull().alias("contaminated"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
@@ -245,7 +280,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that leak no item; ids with a leak lose all rows."""
-    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    found = Scratch(docs.sparkSession, "decontam").keep(found, "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` whose text leaks no item."""
+    name = fresh(docs, "row")
+    found = contaminated(docs, benchmark, **options).select(F.col("row").alias(name)).distinct()
+    found = Scratch(docs.sparkSession, "decontam").keep(found, "rows")
+    return looked_up(docs.withColumn(name, row_key()), found, name, "left_anti").select(docs.columns)

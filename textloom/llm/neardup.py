@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, row_key
+from .common import Scratch, components, looked_up, row_key
 
 SEED = 42
 CHUNK = 1 << 16
@@ -301,4 +301,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = similar(docs, **options)
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    copies = Scratch(docs.sparkSession, "similar").keep(copies, "copies")
+    return looked_up(docs, copies, "doc_id", "left_anti").select(docs.columns)

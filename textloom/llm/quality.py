@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, looked_up
 
 BITS, ORDER = 5, 4
 SYMBOLS, CODES = 1 << BITS, 1 << BITS * ORDER
@@ -211,10 +211,15 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                 total = np.add.reduceat(table[code].astype(np.float64), starts)
                 scores += [None if n == 0 else round(-x / n, 6) for x, n in zip(total.tolist(), size.tolist(), strict=True)]
             cols = [pa.array(x, pa.int64()) for x in (zip(*base, strict=True) if base else [[]] * 5)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], *cols, pa.array(scores, pa.float64())], ["doc_id", "lang", *names, "log_ppl"])
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["lang"], *cols, pa.array(scores, pa.float64())], ["row", "doc_id", "lang", *names, "log_ppl"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", log_ppl double")
+    rows = docs.select(verdict_key().alias("row"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "row long, doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", log_ppl double")
+
+
+def verdict_key() -> Column:
+    """Names a row by all that its verdict rests on."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.col("text").cast("string"))
 
 
 def base_fails() -> Column:
@@ -235,7 +240,7 @@ def bands(rows: DataFrame, reach: float) -> DataFrame:
 
 def judged(docs: DataFrame, reach: float = 3.0) -> DataFrame:
     """One row per text: the base counts, log_ppl, the language's band (low,
-    high), base_failed and kept."""
+    high), base_failed and kept; row names the text, its id and language."""
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(ngram_counts(docs))
     rows = measured(docs, model).withColumn("base_failed", base_fails())
@@ -247,6 +252,8 @@ def judged(docs: DataFrame, reach: float = 3.0) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, reach: float = 3.0) -> DataFrame:
-    """The rows of ``docs`` that pass; rows with a null doc_id do not."""
-    bad = judged(docs, reach).where("not kept").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that pass, each judged by its own text and language."""
+    name = fresh(docs, "row")
+    bad = judged(docs, reach).where("not kept").select(F.col("row").alias(name)).distinct()
+    bad = Scratch(docs.sparkSession, "quality").keep(bad, "rejected")
+    return looked_up(docs.withColumn(name, verdict_key()), bad, name, "left_anti").select(docs.columns)

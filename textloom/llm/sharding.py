@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 OVERHEAD = 16
 TOP = 1 << 63
@@ -114,8 +114,14 @@ def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.001) -> Data
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """Write whole documents as one folder per shard, rows in slot order."""
-    placed = sharded(docs, shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    own = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-    rows = own.join(placed, ["doc_id", "text_crc32"]).drop("text_crc32")
+    """Write whole documents as one folder per shard, rows in slot order, each
+    row once; input columns named shard or slot are replaced."""
+    key, nth = fresh(docs, "key"), fresh(docs, "nth")
+    name = lambda crc: F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), crc)
+    repeat = lambda *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    placed = sharded(docs, shards).withColumn(key, name(F.col("text_crc32"))).withColumn(nth, repeat("shard", "slot")).select(key, nth, "shard", "slot")
+    # rows of one id and checksum take its places in an order of their own
+    own = docs.withColumn(key, name(F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    own = own.withColumn(nth, repeat(F.xxhash64(*docs.columns), *docs.columns))
+    rows = own.drop("shard", "slot").join(placed, [key, nth]).drop(key, nth)
     rows.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
