@@ -39,9 +39,9 @@ from .hashing import VALUE, Powers, U, grouped, running, word_spans
 
 END = 1
 #: Words that a worker remembers with their ids before it starts anew.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 #: Bytes of texts whose words are looked up together.
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 #: How the tokenizer's vocabulary marks the last piece of a word.
 CLOSE = "</w>"
 #: Marks that stay one piece of text when they follow a word.
