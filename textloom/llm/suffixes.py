@@ -47,6 +47,8 @@ from .hashing import BASE, VALUE, Powers, U, mixed
 
 #: Bytes of texts that are taken together.
 CHUNK = 1 << 19
+#: Rounds in which contexts are gathered, so that a round's shuffle stays small.
+PARTS = 3
 #: Low bits of an ordering value that hold the place of the gram.
 PLACE = U((1 << 24) - 1)
 
@@ -257,7 +259,11 @@ def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     scratch.drop(grams)
 
     any_of = [F.first(c).alias(c) for c in ("gram", "n", "at", "bytes")]  # alike in all rows of a context
-    least = scratch.keep(found.groupBy("context").agg(F.min("doc").alias("least"), *any_of), "least")
+    least = None
+    for part in range(PARTS):  # a part at a time, as the bytes travel here
+        own = found.where(F.pmod(F.col("context"), F.lit(PARTS)) == part).groupBy("context")
+        own = scratch.keep(own.agg(F.min("doc").alias("least"), *any_of), "least")
+        least = own if least is None else least.unionByName(own)
     runs = scratch.keep(found.select("context", "doc", "start", "n"), "runs")
     scratch.drop(found)
     first = scratch.keep(shared(least, "gram").select("context", "least", "n", "at", "bytes"), "open")
@@ -273,7 +279,7 @@ def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     marks = scratch.keep(marks.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks")
     scratch.drop(edges)
 
-    known = least.select("context", "least").join(marks, "context", "left")
+    known = scratch.keep(least.select("context", "least").join(marks, "context", "left"), "known")
     whole = F.expr("shiftleft(1L, n) - 1")
     rows = runs.join(known, "context")
     rows = rows.withColumn("mask", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mark", F.lit(0))))
