@@ -36,6 +36,17 @@ def scratch_root(spark: SparkSession) -> str:
     return at.get().rstrip("/")
 
 
+#: Rows of an Arrow batch, on both sides of a Python worker; texts are long.
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound the memory of batches of texts; a smaller setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Scratch:
     """Tables of one run under the shared folder.
 
@@ -47,6 +58,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/textloom-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        short_batches(spark)
         atexit.register(self.remove)  # results are read from here while the session lasts
 
     def path(self, name: str) -> str:
