@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -321,12 +321,64 @@ def test_quality(docs, rows):
         assert r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high)
 
 
-def test_quality_model_is_a_distribution(docs):
-    model = quality.fit(quality.ngram_counts(docs))
-    rng = np.random.default_rng(1)
-    for context in [*rng.integers(0, 1 << 15, 40).tolist(), 0]:
-        p = 10 ** quality.score(model, (context << 5 | np.arange(1, 32)).astype(np.int64))
-        assert abs(p.sum() - 1) < 1e-3, context
+def brute_kneser_ney(texts, least):
+    """A function (context, symbol) -> probability, from strings and dictionaries."""
+    counts = {4: Counter()}
+    for t in texts:
+        padded = (None, None, None, *t)
+        counts[4].update(tuple(padded[i : i + 4]) for i in range(len(t)))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, follow = {}, defaultdict(Counter)
+    for k, own in counts.items():
+        n = [max(1, sum(c == i for c in own.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cuts[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+        for g, c in own.items():
+            follow[k, g[:-1]][g[-1]] = c
+
+    def p(context, x):
+        k = len(context) + 1
+        below = p(context[1:], x) if k > 1 else 1 / 65535
+        if not (own := follow.get((k, context))):
+            return below
+        cut = {s: cuts[k][min(c, 3) - 1] if k < 4 or c >= least else c for s, c in own.items()}
+        total = sum(own.values())
+        return (own[x] - cut.get(x, 0)) / total + sum(cut.values()) / total * below
+
+    return p
+
+
+def test_quality_model_against_brute_force(spark, monkeypatch):
+    """Perplexity, band and verdict of each text, in several files of the model."""
+    monkeypatch.setattr(quality, "SHARD", 2000)
+    rng = random.Random(8)
+    scripts = {"en": "abcdeé", "el": "αβγδε", "zh": "\u4e00\u4e8c\u4e09\u56db", None: "xyz\U0001d11e"}
+    prose = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(55, 70)))
+    given = [(lang, prose(s)) for lang, s in scripts.items() for _ in range(12)] + [("en", ""), ("el", None), ("zh", prose("\u4e00\u5341\u767e\u5343\u842c\u5104")), ("xx", "b")]
+    given += [("el", " ".join("".join(chr(rng.randint(0x3B1, 0x3C9)) for _ in range(9)) for _ in range(60)))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert len(got) == len(given)
+    fold = lambda t: (t or "").replace("\U0001d11e", "\ue1d1")
+    want = {}
+    for lang in {x for x, _ in given}:
+        p = brute_kneser_ney([fold(t) for x, t in given if x == lang], 2)
+        for i, (x, t) in enumerate(given):
+            if x == lang and t:
+                s = (None, None, None, *fold(t))
+                want[i] = -sum(math.log10(p(s[j - 3 : j], s[j])) for j in range(3, len(s))) / len(t)
+        good = sorted(math.floor(got[i].log_ppl * 1000) for i, (x, t) in enumerate(given) if x == lang and t and not got[i].base_failed)
+        if good:
+            q1, q3 = (good[math.ceil(q * len(good)) - 1] / 1000 for q in (0.25, 0.75))
+            wide = 3 * max(q3 - q1, 0.01)
+            for i, (x, _) in enumerate(given):
+                if x == lang:
+                    assert got[i].kept == (not got[i].base_failed and i in want and q1 - wide <= got[i].log_ppl <= q3 + wide)
+    for i, r in got.items():
+        assert (r.log_ppl is None) == (i not in want)
+        assert r.log_ppl is None or abs(r.log_ppl - want[i]) < 1e-4, (i, r.log_ppl, want[i])
+    assert not got[len(given) - 1].kept and got[len(given) - 1].log_ppl > got[len(given) - 1].high  # Greek letters at random
 
 
 def test_quality_rejects_junk_and_keeps_clean(spark):
