@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -356,18 +357,19 @@ def test_quality_model_against_brute_force(spark, monkeypatch):
     scripts = {"en": "abcdeé", "el": "αβγδε", "zh": "\u4e00\u4e8c\u4e09\u56db", None: "xyz\U0001d11e"}
     prose = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(55, 70)))
     given = [(lang, prose(s)) for lang, s in scripts.items() for _ in range(12)] + [("en", ""), ("el", None), ("zh", prose("\u4e00\u5341\u767e\u5343\u842c\u5104")), ("xx", "b")]
+    given += [("en", "\n ".join(prose("abcde").split(" ")) + " &&& ||  ?!!\ta")]
     given += [("el", " ".join("".join(chr(rng.randint(0x3B1, 0x3C9)) for _ in range(9)) for _ in range(60)))]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "doc_id long, lang string, text string")
     got = {r.doc_id: r for r in quality.judged(df).collect()}
     assert len(got) == len(given)
-    fold = lambda t: (t or "").replace("\U0001d11e", "\ue1d1")
+    fold = lambda t: re.sub(r"([ &|?!])\1+", r"\1", re.sub(r"\s", " ", (t or "").replace("\U0001d11e", "\ue1d1")))
     want = {}
     for lang in {x for x, _ in given}:
         p = brute_kneser_ney([fold(t) for x, t in given if x == lang], 2)
         for i, (x, t) in enumerate(given):
             if x == lang and t:
                 s = (None, None, None, *fold(t))
-                want[i] = -sum(math.log10(p(s[j - 3 : j], s[j])) for j in range(3, len(s))) / len(t)
+                want[i] = -sum(math.log10(p(s[j - 3 : j], s[j])) for j in range(3, len(s))) / (len(s) - 3)
         good = sorted(math.floor(got[i].log_ppl * 1000) for i, (x, t) in enumerate(given) if x == lang and t and not got[i].base_failed)
         if good:
             q1, q3 = (good[math.ceil(q * len(good)) - 1] / 1000 for q in (0.25, 0.75))

@@ -3,7 +3,9 @@
 The model is a modified Kneser-Ney model of characters, one for each language.
 A symbol is a code point of sixteen bits without case (all digits are one symbol,
 all white space another; code points beyond sixteen bits are named by their block
-of 256), so an n-gram of four symbols is a 64-bit number. Spark counts the
+of 256; a run of one mark or of white space is one symbol, as else long runs,
+which are easy to foretell, would make up for rare marks), so an n-gram of four
+symbols is a 64-bit number. Spark counts the
 n-grams of every whole text, the lower orders by their different predecessors,
 and joins discounts, contexts and lower orders to probabilities, order by order.
 Highest-order n-grams seen fewer than ``least`` times keep no entry: their mass
@@ -71,6 +73,12 @@ def symbols() -> np.ndarray:
     return out
 
 
+@cache
+def marks() -> np.ndarray:
+    """Which symbols are marks or white space."""
+    return np.array([unicodedata.category(chr(x))[0] in "PSZ" for x in range(SYMBOLS)])
+
+
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram code at each place of the texts, ORDER - 1 start marks before
     each text, and where each text's marks begin. Codes of marks end in 0."""
@@ -78,12 +86,13 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(ORDER - 1, np.uint16)
     for t in texts:
         cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
-        own = table[cp & U(SYMBOLS - 1).astype(np.uint32)]
+        own = table[cp & np.uint32(SYMBOLS - 1)]
         far = np.flatnonzero(cp >= SYMBOLS)
         own[far] = 0xE000 + (cp[far] >> 8)  # private-use symbols stand for blocks
+        own = own[(np.diff(own, prepend=0) != 0) | ~marks()[own]]
         parts += [pad, own]
         starts.append(at)
-        at += len(pad) + len(cp)
+        at += len(pad) + len(own)
     s = np.concatenate([pad, *parts]).astype(U)
     code = np.zeros(max(0, len(s) - ORDER + 1), U)
     for k in range(ORDER):
@@ -279,7 +288,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, model: Files) -> DataFrame:
-    """The base counts and log10 perplexity per character of each whole text."""
+    """The base counts and log10 perplexity per symbol of each whole text."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
