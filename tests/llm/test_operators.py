@@ -663,6 +663,22 @@ def test_elias_fano():
         q = np.concatenate([v, rng.integers(0, top, 500, dtype=np.uint64)])
         at, hit = e.rank(q)
         assert (at == np.searchsorted(v, q)).all() and (hit == np.isin(q, v)).all()
+        assert (e.at(np.arange(len(v))) == v).all()
+
+
+def test_successors_lie_within_their_context():
+    rng = np.random.default_rng(2)
+    code = np.unique(rng.integers(0, 40 * 1000, 3000))
+    context, word = np.divmod(code, 1000)
+    context *= 3
+    contexts, first, kinds = np.unique(context, return_index=True, return_counts=True)
+    s = lmscore.Successors(lmscore.level(contexts, first, word, 1000) | {"share": np.zeros(len(word))})
+    start, end, base = s.ranges(np.arange(130))
+    for c in range(130):
+        own = word[context == c]
+        assert end[c] - start[c] == len(own)
+        at, hit = s.find(*(np.full(1000, x[c]) for x in (start, end, base)), np.arange(1000))
+        assert (hit == np.isin(np.arange(1000), own)).all() and (word[at[hit]] == own).all()
 
 
 @pytest.mark.parametrize("size", [(1 << 20, 1 << 21), (50, 200)])

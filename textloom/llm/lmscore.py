@@ -2,24 +2,27 @@
 
 The first level is the vocabulary: word hashes in ascending order, Elias-Fano
 coded in files by hash range, with their counts; a word's id is its place. The
-second level holds, under each context word, its successors. An entry is coded
-as ``context * width + word``, so a context's successors are one ascending
-range: its ends are found by two successor searches, a word by one within it,
-and the size of the range is the number of different successors. Beside each
-entry lies its discounted probability in 16 bits, rounded down. Levels are
-written by the tasks that counted them to the shared folder and memory-mapped by
-the tasks that score; nothing of the model passes the driver but its sums.
+second level holds the pairs, in files of about ``shard_pairs`` pairs. A file has
+three Elias-Fano sequences: the ids of its contexts, a monotone pointer for each
+to its first successor, and the successors' ids, each coded relative to its
+context: the context's base is the end of the range of the context before, so
+that the whole sequence ascends. A search finds the context's place, its two
+pointers (their distance is the number of different successors) and its base, and
+then the successor of base + word. Beside each entry lies its discounted
+probability as a quantised logarithm, rounded down. Levels are written by the
+tasks that counted them to the shared folder and memory-mapped by the tasks that
+score; nothing of the model passes the driver but its sums.
 
 The probability of a word after a context is the discounted share of the pair
 (absolute discount 0.75) plus the freed mass times the smoothed unigram
 probability. Unknown words share one place in the unigram, an unknown context
 leaves the unigram alone, so probabilities add up to at most one.
 
-Pairs travel as compressed blocks of sorted codes, one per task and shard, each
-shard holding about ``shard_pairs`` pairs. A context that holds more than a
-thousandth of all tokens would fill a shard of its own: such contexts, fewer
-than a thousand, are dealt over all shards by word, and only their numbers of
-successors are collected.
+Pairs travel as compressed blocks of sorted codes, one per task and shard. A
+context seen more than ``shard_pairs / 16`` times is dealt over all shards by
+word, so a shard's size does not grow with the corpus; the numbers of successors
+of these contexts are summed in Spark and lie in files by id range. Pair codes
+fill 64 bits at 3 * 10^9 different words: beyond it the model is refused.
 
 Defined cases: a null or empty text holds the end mark alone; a null doc_id
 counts as the text ``""`` for the split; without training text every word is
@@ -79,6 +82,7 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits = (int(x) for x in arrays["size"])
         self.low, self.high, self.zeros = arrays["low"], arrays["high"], arrays["zeros"]
+        self.ones = np.arange(len(self.zeros)) * 512 - self.zeros
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -89,25 +93,35 @@ class EliasFano:
         out |= (self.low[word + 1] << U(1)) << (U(63) - off)
         return out & U((1 << self.bits) - 1)
 
-    def bucket_ends(self, k: np.ndarray) -> np.ndarray:
-        """How many values have a high part of at most k: the place of the k-th
-        zero bit, less the zeros before."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = k - self.zeros[block]
+    def place(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Where the k-th one (or zero) bit of the high parts stands."""
+        before = self.ones if ones else self.zeros
+        block = np.searchsorted(before, k, side="right") - 1
+        rest = k - before[block]
         word = block * 8
+        flip = U(0) if ones else ~U(0)
         for _ in range(7):
-            z = 64 - np.bitwise_count(self.high[word]).astype(np.int64)
-            go = rest >= z
-            rest -= np.where(go, z, 0)
+            c = np.bitwise_count(self.high[word] ^ flip).astype(np.int64)
+            go = rest >= c
+            rest -= np.where(go, c, 0)
             word += go
-        left, place = ~self.high[word], word * 64
+        left, place = self.high[word] ^ flip, word * 64
         for step in (32, 16, 8, 4, 2, 1):
-            z = np.bitwise_count(left & U((1 << step) - 1)).astype(np.int64)
-            go = rest >= z
-            rest -= np.where(go, z, 0)
+            c = np.bitwise_count(left & U((1 << step) - 1)).astype(np.int64)
+            go = rest >= c
+            rest -= np.where(go, c, 0)
             left = np.where(go, left >> U(step), left)
             place += np.where(go, step, 0)
-        return place - k
+        return place
+
+    def bucket_ends(self, k: np.ndarray) -> np.ndarray:
+        """How many values have a high part of at most k: the place of the k-th
+        zero bit, less the zeros before."""
+        return self.place(k, False) - k
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        return ((self.place(i, True) - i).astype(U) << U(self.bits)) | self.lows(i)
 
     def rank(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the first value not below q stands, and whether it is q."""
@@ -215,12 +229,14 @@ def write_vocabulary(words: DataFrame, root: str, bits: int) -> list[int]:
 class Setting:
     """What tasks need to open the model."""
 
-    def __init__(self, root: str, bits: int, first: list[int], shards: int, docs: int, total: int):
-        self.root, self.bits, self.first, self.shards = root, bits, first, shards
+    def __init__(self, root: str, bits: int, first: list[int], shard_pairs: int, docs: int, total: int):
+        self.root, self.bits, self.first = root, bits, first
+        self.shards = max(1, -(-total // shard_pairs))
         self.docs, self.total, self.words = docs, total, first[-1]
         self.width = self.words + 1  # the id ``words`` is the start of a text
-        self.hot = max(50_000, total // 1000)
-        self.hot_successors: dict[int, int] = {}
+        self.hot = shard_pairs // 16
+        if (self.width + 1) ** 2 >= 1 << 63:
+            raise ValueError(f"{self.words} different words: codes of pairs would pass 64 bits")
 
     def shard_of(self, context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
         key = context.astype(U) * MIX
@@ -293,9 +309,47 @@ def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(code.astype(np.int64)), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def write_pairs(blocks: DataFrame, setting: Setting) -> dict[int, int]:
-    """Write the second level, a file per shard; the numbers of successors of
-    the contexts that are dealt over all shards."""
+def level(contexts: np.ndarray, first: np.ndarray, word: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """The second level's sequences. ``word`` holds the successors' ids, ascending
+    within each context; those of ``contexts[j]`` start at ``first[j]``."""
+    ends = np.append(first[1:], len(word))
+    tops = np.cumsum(word[ends - 1] + 1)
+    base = np.append(0, tops[:-1])
+    parts = {
+        "contexts": EliasFano.coded(contexts.astype(U), width + 1),
+        "pointers": EliasFano.coded(np.append(first, len(word)).astype(U), len(word) + 1),
+        "successors": EliasFano.coded((word + np.repeat(base, ends - first)).astype(U), int(tops[-1]) + 1),
+    }
+    return {f"{k}-{name}": a for k, x in parts.items() for name, a in x.items()}
+
+
+class Successors:
+    """A file of the second level."""
+
+    def __init__(self, file: dict[str, np.ndarray]):
+        part = lambda k: EliasFano({n: file[f"{k}-{n}"] for n in ("size", "low", "high", "zeros")})
+        self.contexts, self.pointers, self.ids, self.share = part("contexts"), part("pointers"), part("successors"), file["share"]
+        self.top = self.ids.at(np.array([self.ids.n - 1]))[0] + U(1)
+
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, base) of the successors of each context."""
+        start, end, base = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64), np.zeros(len(context), U)
+        place, hit = self.contexts.rank(context.astype(U))
+        start[hit] = self.pointers.at(place[hit])
+        end[hit] = self.pointers.at(place[hit] + 1)
+        later = start > 0
+        base[later] = self.ids.at(start[later] - 1) + U(1)
+        return start, end, base
+
+    def find(self, start: np.ndarray, end: np.ndarray, base: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words within their contexts' ranges, and whether they are there."""
+        place, hit = self.ids.rank(np.minimum(base + word.astype(U), self.top))
+        return place, hit & (start <= place) & (place < end)
+
+
+def write_pairs(blocks: DataFrame, setting: Setting) -> None:
+    """Write the second level, a file per shard, and the numbers of successors of
+    the contexts that are dealt over all shards, a file per part of the vocabulary."""
 
     def write(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         code, n = (np.concatenate(x) for x in zip(*map(unpacked, own["block"]), strict=True))
@@ -304,16 +358,23 @@ def write_pairs(blocks: DataFrame, setting: Setting) -> dict[int, int]:
         first = np.flatnonzero(np.diff(code, prepend=-1))
         code, n = code[first], np.add.reduceat(n, first)
         vocabulary = Vocabulary(setting.root, setting.bits, setting.first)
-        context = code // setting.width
-        total = setting.context_counts(vocabulary, context)
-        share = np.ceil(-np.log2((n - DISCOUNT) / total) * STEPS)
-        file = EliasFano.coded(code.astype(U), setting.width * (setting.words + 2))
-        put(f"{setting.root}/pairs-{key[0]}", packed(file | {"share": np.minimum(share, 65535).astype(np.uint16)}))
-        hot, kinds = np.unique(context[total > setting.hot], return_counts=True)
-        return pd.DataFrame({"context": hot, "n": kinds})
+        context, word = np.divmod(code, setting.width)
+        contexts, first, kinds = np.unique(context, return_index=True, return_counts=True)
+        total = setting.context_counts(vocabulary, contexts)
+        share = np.ceil(-np.log2((n - DISCOUNT) / np.repeat(total, kinds)) * STEPS)
+        share = share.astype(np.uint16 if share.max() < 1 << 16 else np.uint32)
+        put(f"{setting.root}/pairs-{key[0]}", packed(level(contexts, first, word, setting.width) | {"share": share}))
+        hot = total > setting.hot
+        part = np.searchsorted(setting.first, contexts[hot], side="right") - 1
+        return pd.DataFrame({"part": part, "context": contexts[hot], "n": kinds[hot]})
+
+    def write_kinds(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("context")
+        put(f"{setting.root}/kinds-{key[0]}", packed({c: own[c].to_numpy(np.int64) for c in ("context", "n")}))
+        return pd.DataFrame({"n": [len(own)]})
 
-    found = blocks.groupBy("shard").applyInPandas(write, "context long, n long")
-    return dict(found.groupBy("context").agg(F.sum("n")).collect())
+    found = blocks.groupBy("shard").applyInPandas(write, "part long, context long, n long")
+    found.groupBy("part", "context").agg(F.sum("n").alias("n")).groupBy("part").applyInPandas(write_kinds, "n long").agg(F.sum("n")).collect()
 
 
 class Model:
@@ -322,50 +383,59 @@ class Model:
     def __init__(self, setting: Setting):
         self.setting = setting
         self.vocabulary = Vocabulary(setting.root, setting.bits, setting.first)
-        self.files: dict[int, dict | None] = {}
-        self.hot = np.array(sorted(setting.hot_successors), np.int64)
-        self.hot_n = np.array([setting.hot_successors[x] for x in self.hot.tolist()], np.int64)
+        self.files: dict[int, Successors | None] = {}
+        self.kinds: dict[int, dict] = {}
 
-    def shard(self, i: int) -> tuple[EliasFano, np.ndarray] | None:
+    def shard(self, i: int) -> Successors | None:
         if i not in self.files:
             try:
-                file = mapped(f"{self.setting.root}/pairs-{i}")
-                self.files[i] = EliasFano(file), file["share"]
+                self.files[i] = Successors(mapped(f"{self.setting.root}/pairs-{i}"))
             except FileNotFoundError:  # no pair fell here
                 self.files[i] = None
         return self.files[i]
 
+    def hot_kinds(self, contexts: np.ndarray) -> np.ndarray:
+        """Numbers of successors of contexts that are dealt over all shards."""
+        out = np.zeros(len(contexts), np.int64)
+        part = np.searchsorted(self.setting.first, contexts, side="right") - 1
+        for i in np.unique(part).tolist():
+            if i not in self.kinds:
+                self.kinds[i] = mapped(f"{self.setting.root}/kinds-{i}")
+            own = part == i
+            out[own] = self.kinds[i]["n"][np.searchsorted(self.kinds[i]["context"], contexts[own])]
+        return out
+
     def unigram(self, n: np.ndarray) -> np.ndarray:
         return (n + 0.5) / (self.setting.total + 0.5 * (self.setting.words + 1))
 
     def given(self, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probabilities of words after known contexts; ``base``: their unigram
-        probabilities. Words of id -1 are unknown."""
+        """Probabilities of words after known contexts, in ascending order of
+        contexts; ``base``: their unigram probabilities. Words of id -1 are unknown."""
         s = self.setting
         contexts, back = np.unique(context, return_inverse=True)
         total = s.context_counts(self.vocabulary, contexts)
         hot = total > s.hot
         kinds = np.zeros(len(contexts), np.int64)
         if hot.any():
-            kinds[hot] = self.hot_n[np.searchsorted(self.hot, contexts[hot])]
-        home = s.shard_of(contexts, contexts, np.zeros(len(contexts), bool))
-        for i in np.unique(home[~hot]).tolist():
-            own = np.flatnonzero((home == i) & ~hot)
-            if file := self.shard(i):
-                start = (contexts[own] * s.width).astype(U)
-                kinds[own] = file[0].rank(start + U(s.width))[0] - file[0].rank(start)[0]
-        out = (DISCOUNT * kinds / np.maximum(total, 1))[back] * base
-        code = context * s.width + word
+            kinds[hot] = self.hot_kinds(contexts[hot])
+        share = np.zeros(len(context))
         shard = s.shard_of(context, word, hot[back])
-        shard[word < 0] = -1
+        shard[(word < 0) & hot[back]] = -1
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(s.shards + 1))
         for i in range(s.shards):
             own = order[cut[i] : cut[i + 1]]
-            if len(own) and (file := self.shard(i)):
-                at, hit = file[0].rank(code[own].astype(U))
-                out[own[hit]] += np.exp2(-file[1][at[hit]].astype(np.float64) / STEPS)
-        return out
+            if not len(own) or not (file := self.shard(i)):
+                continue
+            new = np.diff(back[own], prepend=-1) > 0
+            ids, of = back[own[new]], np.cumsum(new) - 1
+            start, end, first = file.ranges(contexts[ids])
+            kinds[ids] = np.where(hot[ids], kinds[ids], end - start)
+            known = word[own] >= 0
+            own, of = own[known], of[known]
+            at, hit = file.find(start[of], end[of], first[of], word[own])
+            share[own[hit]] = np.exp2(-file.share[at[hit]].astype(np.float64) / STEPS)
+        return (DISCOUNT * kinds / np.maximum(total, 1))[back] * base + share
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
@@ -388,8 +458,8 @@ def trained(docs: DataFrame, scratch: Scratch, shard_words: int, shard_pairs: in
     root = scratch.path("model")
     bits = max(0, (kinds // shard_words).bit_length())
     first = write_vocabulary(words, root, bits)
-    setting = Setting(root, bits, first, max(1, -(-total // shard_pairs)), docs.count(), total)
-    setting.hot_successors = write_pairs(pair_blocks(docs, setting), setting)
+    setting = Setting(root, bits, first, shard_pairs, docs.count(), total)
+    write_pairs(pair_blocks(docs, setting), setting)
     scratch.settle()
     return setting
 
