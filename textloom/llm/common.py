@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,14 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def worker_memory() -> dict:
+    """What a Python process keeps from task to task, by key.
+
+    Functions reach tasks by value, with module variables of their own, so a
+    cache that is to outlive a task lies in a module made for it."""
+    return sys.modules.setdefault("textloom_worker_memory", types.ModuleType("textloom_worker_memory")).__dict__
+
+
 class Scratch:
     """Tables of one run under the shared folder.
 

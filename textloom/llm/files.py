@@ -68,6 +68,11 @@ def mapped(path: str) -> dict[str, np.ndarray]:
     else:
         with opened(path) as f:
             raw = np.frombuffer(f.read(), np.uint8)
+    return unpacked(raw)
+
+
+def unpacked(raw: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays behind the bytes that ``packed`` gives."""
     size = int(raw[:8].view("<u8")[0])
     head = json.loads(bytes(raw[8 : 8 + size]))
     base = 8 + size

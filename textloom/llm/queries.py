@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, lmscore, neardup, packing, quality, sharding, suffixes, tokens, warc
+from . import alignment, decontam, licenses, lines, lmscore, neardup, packing, quality, search, sharding, suffixes, tokens, warc
 from .common import Scratch, table
 
 
@@ -68,6 +68,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.aligned(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).drop("groups")
+
+
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -79,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_sort": op8_histogram_sort,
     "op9_simhash": op9_simhash,
     "op10_elias_fano": op10_elias_fano,
+    "op11_license_templates": op11_license_templates,
+    "op12_alignment": op12_alignment,
+    "op13_block_max": op13_block_max,
 }
 
 ORACLE: dict[str, str] = {
@@ -87,4 +103,6 @@ ORACLE: dict[str, str] = {
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
         CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to FROM q""",
+    "op11_license_templates": licenses.sql(),
+    "op13_block_max": search.SQL,
 }
