@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from string import ascii_letters
 from unicodedata import is_normalized, normalize
 
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, worker_memory
 from .hashing import VALUE, Powers, U, grouped, running, word_spans
 
 END = 1
@@ -160,10 +159,12 @@ class Words:
         return ids, upto[ends + np.arange(len(texts))]
 
 
-@cache
 def words_of(tokenizer: str) -> Words:
     """One memory of words for all tasks of a Python worker."""
-    return Words(tokenizer)
+    held = worker_memory()
+    if (key := ("words", tokenizer)) not in held:
+        held[key] = Words(tokenizer)
+    return held[key]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool = False) -> DataFrame:

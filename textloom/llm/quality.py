@@ -9,7 +9,8 @@ symbols is a 64-bit number. Spark counts the
 n-grams of every whole text, the lower orders by their different predecessors,
 and joins discounts, contexts and lower orders to probabilities, order by order.
 Highest-order n-grams seen fewer than ``least`` times keep no entry: their mass
-goes to the lower orders, so that a text can't vouch for itself.
+goes to the lower orders, so that a text can't vouch for itself; copies of a text
+count once.
 
 The model is kept as sorted hash arrays, in files by hash range in the shared
 folder: the 64-bit hash of (language, order, n-gram), its log10 probability and
@@ -17,7 +18,7 @@ its back-off weight as a context. Tasks that score look up the distinct n-grams
 of a piece of text by binary search in the files, of which they hold a few open;
 nothing of the model passes the driver or is broadcast.
 
-The perplexity band is set per language over all texts that pass the base
+The perplexity band is set per language over all distinct texts that pass the base
 rules: the lower and upper quartile of log10 perplexity, widened by ``reach``
 times their distance. Texts outside are rejected.
 
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, looked_up
+from .common import Scratch, fresh, looked_up, worker_memory
 from .files import mapped, packed, put
 from .hashing import U, mixed
 
@@ -57,9 +57,18 @@ SHARD, OPEN = 1 << 20, 16
 UNIFORM = -float(np.log10(SYMBOLS - 1))
 
 
-@cache
-def symbols() -> np.ndarray:
-    """The symbol of each code point of sixteen bits; 0 is the start mark."""
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each code point of sixteen bits (0 is the start mark), and
+    which symbols are marks or white space."""
+    held = worker_memory()
+    if "symbols" not in held:
+        marks = np.array([unicodedata.category(chr(x))[0] in "PSZ" for x in range(SYMBOLS)])
+        held["symbols"] = symbol_table(), marks
+    return held["symbols"]
+
+
+def symbol_table() -> np.ndarray:
+    """The symbol of each code point of sixteen bits, without case."""
     out = np.arange(SYMBOLS, dtype=np.uint16)
     for cp in range(SYMBOLS):
         c = chr(cp)
@@ -73,23 +82,17 @@ def symbols() -> np.ndarray:
     return out
 
 
-@cache
-def marks() -> np.ndarray:
-    """Which symbols are marks or white space."""
-    return np.array([unicodedata.category(chr(x))[0] in "PSZ" for x in range(SYMBOLS)])
-
-
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram code at each place of the texts, ORDER - 1 start marks before
     each text, and where each text's marks begin. Codes of marks end in 0."""
-    table, parts, starts, at = symbols(), [], [], 0
+    (table, marks), parts, starts, at = symbols(), [], [], 0
     pad = np.zeros(ORDER - 1, np.uint16)
     for t in texts:
         cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
         own = table[cp & np.uint32(SYMBOLS - 1)]
         far = np.flatnonzero(cp >= SYMBOLS)
         own[far] = 0xE000 + (cp[far] >> 8)  # private-use symbols stand for blocks
-        own = own[(np.diff(own, prepend=0) != 0) | ~marks()[own]]
+        own = own[(np.diff(own, prepend=0) != 0) | ~marks[own]]
         parts += [pad, own]
         starts.append(at)
         at += len(pad) + len(own)
@@ -128,8 +131,21 @@ def by_language(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[str]]
             at += len(texts)
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(g, code, n) over all whole texts, g naming the language."""
+def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, text): each distinct text of a language once, so that no text vouches
+    for its copies. Rows are counted by two hashes of their texts; only texts
+    that occur again are grouped, and one text of a group leaves each task."""
+    rows = docs.select(language().alias("g"), F.col("text").cast("string").alias("text"))
+    keyed = rows.withColumn("h", F.xxhash64("g", "text")).withColumn("i", F.xxhash64(F.lit(7), "text"))
+    again = keyed.groupBy("h", "i").agg(F.count("*").alias("n")).where("n > 1").select("h").distinct()
+    again = scratch.keep(again, "again")
+    once = looked_up(keyed, again, "h", "left_anti").select("g", "text")
+    copies = looked_up(keyed, again, "h", "left_semi").groupBy("g", "h", "i").agg(F.first("text").alias("text"))
+    return once.unionByName(copies.select("g", "text"))
+
+
+def ngram_counts(rows: DataFrame) -> DataFrame:
+    """(g, code, n) over all whole texts of (g, text), g naming the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +155,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 code, n = code[held].view(np.int64), n[held]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), g)), pa.array(code), pa.array(n.astype(np.int64))], ["g", "code", "n"])
 
-    rows = docs.select(language().alias("g"), F.col("text").cast("string").alias("text")).mapInArrow(run, "g long, code long, n long")
+    rows = rows.mapInArrow(run, "g long, code long, n long")
     return rows.groupBy("g", "code").agg(F.sum("n").alias("n"))
 
 
@@ -305,10 +321,10 @@ def measured(docs: DataFrame, model: Files) -> DataFrame:
                 with np.errstate(invalid="ignore"):
                     log_ppl[rows] = np.round(-np.add.reduceat(logp[back], starts) / size, 6)
             cols = [*map(pa.array, base), pa.array(log_ppl, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["lang"], *cols], ["row", "doc_id", "lang", *names, "log_ppl"])
+            yield pa.RecordBatch.from_arrays([b["row"], b["copy"], b["doc_id"], b["lang"], *cols], ["row", "copy", "doc_id", "lang", *names, "log_ppl"])
 
-    rows = docs.select(verdict_key().alias("row"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), language().alias("g"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "row long, doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", log_ppl double")
+    rows = docs.select(verdict_key().alias("row"), F.xxhash64("text").alias("copy"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), language().alias("g"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "row long, copy long, doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", log_ppl double")
 
 
 def verdict_key() -> Column:
@@ -321,9 +337,10 @@ def base_fails() -> Column:
 
 
 def bands(rows: DataFrame, reach: float) -> DataFrame:
-    """(lang, low, high) from an exact histogram of each language's texts."""
-    bins = rows.where("not base_failed and log_ppl is not null").groupBy("lang", F.floor(F.col("log_ppl") * STEPS).alias("bin"))
-    bins = bins.agg(F.count("*").alias("n"))
+    """(lang, low, high) from an exact histogram of each language's distinct texts."""
+    fits = rows.where("not base_failed and log_ppl is not null")
+    texts = fits.select("lang", "copy", F.floor(F.col("log_ppl") * STEPS).alias("bin")).distinct()
+    bins = texts.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     own = Window.partitionBy("lang")
     bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / STEPS
@@ -336,11 +353,11 @@ def judged(docs: DataFrame, reach: float = 3.0) -> DataFrame:
     """One row per text: the base counts, log_ppl, the language's band (low,
     high), base_failed and kept; row names the text, its id and language."""
     scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(scratch.keep(ngram_counts(docs), "counts"), scratch)
+    model = fit(scratch.keep(ngram_counts(distinct_texts(docs, scratch)), "counts"), scratch)
     rows = measured(docs, model).withColumn("base_failed", base_fails())
     rows = scratch.keep(rows, "measured")
     band = bands(rows, reach)
-    out = rows.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
+    out = rows.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang", "copy")
     fits = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & fits)
 
