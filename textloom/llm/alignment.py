@@ -15,10 +15,11 @@ in the whole corpus is counted in dense vectors:
 5. a second pass aligns the texts again and looks the counts up.
 
 Texts are cut at safe places first: before a run of spaces, tabs and line ends
-that follows other characters than white space. No A token begins elsewhere
-than there and no B piece goes on over such a place (both are checked when the
-files are loaded), so a unit's tokens are the same alone and in its text, and a
-worker encodes a unit once for all its occurrences.
+that follows other characters than white space, and between a word of Latin
+letters and a mark. A's rule for words cuts there, too, and no piece of B goes
+on over such a place (which is checked when the file is loaded), so a unit's
+tokens are the same alone and in its text, and a worker encodes a unit once for
+all its occurrences.
 
 Only pairs and counts travel, never texts: a hot source or a group of copies
 adds nothing beyond its tasks' own lists. The files hold about 17 bytes for each
@@ -26,20 +27,22 @@ distinct pair of ids; they lie in the shared folder and are memory-mapped where
 the store allows.
 
 Defined cases: a null or empty text has no tokens, nor has one whose joined
-token bytes differ from a space and the text (a U+2581 in it, for instance):
+token bytes differ from a space and the text (a U+2581 in it, bytes beyond UTF-8):
 zeros and an empty column; repeated rows count each; an empty table gives an
 empty result; a null doc_id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +57,15 @@ SHARDS = 64
 #: Vectors that one node of the tree adds up.
 FAN = 16
 #: Units that a worker remembers before it starts anew, and what is encoded at a time.
-REMEMBER = 400_000
+REMEMBER = 500_000
 CHUNK = 1 << 19
 #: White space that A knows, beside the space, tab and line end where texts are cut.
 ODD = r"\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNIT = regex.compile(rf"[ \t\n]*[^ \t\n]+(?:(?<=[{ODD}])[ \t\n]+[^ \t\n]*)*|[ \t\n]+")
+#: A word of these letters is cut off before these marks, too.
+LETTER, MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r".,;:!?"
+PLAIN = re.compile(rf"[ \t\n]*(?:[{LETTER}]++(?=[ \t\n{MARK}]|\Z)|[^ \t\n]+)|[ \t\n]+")
+UNIT = re.compile(rf"[ \t\n]*(?:[{LETTER}]++(?=[ \t\n{MARK}]|\Z)|[^ \t\n]+(?:(?<=[{ODD}])[ \t\n]+[^ \t\n]*)*)|[ \t\n]+")
+SOME_ODD = re.compile(rf"[{ODD}]")
 U = np.uint64
 LOST = -1
 
@@ -90,25 +97,37 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         ordinary = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        if crossing := [p for p in ordinary if regex.search(r"[^▁ \t\n][▁ \t\n]|[\t\n].|.[\t\n]", p)]:
-            raise ValueError(f"pieces go on over white space: {crossing[:5]}")
-        self.space = pieces.index("▁")
+        if crossing := [p for p in ordinary if re.search(rf"[^▁ \t\n][▁ \t\n]|[\t\n].|.[\t\n]|[{LETTER}][{MARK}]", p)]:
+            raise ValueError(f"pieces go on over a cut: {crossing[:5]}")
+        self.lead = self.b.encode("\n")  # what stands before a unit that begins without a space
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of A and B for each unit, and which units come back byte by byte."""
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B for each unit; none where either's bytes differ."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        a_byte, b_byte, good = self.a_bytes, self.b_bytes, np.ones(len(units), bool)
+        b = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
+        n = len(self.lead)
         for i, u in enumerate(units):
             if u[0] != " ":
-                b[i] = b[i][1:] if b[i][:1] == [self.space] else [0]
+                b[i] = b[i][n:] if b[i][:n] == self.lead else []
             elif len(u) == 1:
-                b[i] = [self.space]  # encoding nothing gives nothing
-            data = u.encode("utf-8", "surrogatepass")
-            good[i] = b"".join([b_byte[x] for x in b[i]]) == data and b"".join([a_byte[x] for x in a[i]]) == data
-        return a, b, good
+                b[i] = self.lead[:1]  # encoding nothing gives nothing
+        data = [u.encode() for u in units]
+        if not (self.same(a, self.a_bytes, self.a_size, data) and self.same(b, self.b_bytes, self.b_size, data)):
+            for i, d in enumerate(data):
+                if b"".join([self.b_bytes[x] for x in b[i]]) != d or b"".join([self.a_bytes[x] for x in a[i]]) != d:
+                    a[i] = b[i] = []
+        return a, b
+
+    @staticmethod
+    def same(ids: list[list[int]], token: list[bytes], size: np.ndarray, data: list[bytes]) -> bool:
+        """Whether the tokens of all units are the units' bytes."""
+        flat = list(chain.from_iterable(ids))
+        if b"".join(map(token.__getitem__, flat)) != b"".join(data):
+            return False
+        ends = np.pad(np.cumsum(size[flat]), (1, 0))[np.cumsum(list(map(len, ids)))] if flat else np.zeros(len(ids), np.int64)
+        return np.array_equal(ends, np.cumsum(list(map(len, data))))
 
 
 class Aligned:
@@ -129,12 +148,9 @@ class Aligned:
     def learn(self, units: list[str]) -> None:
         first = len(self.number)
         self.number.update(zip(units, range(first, first + len(units)), strict=True))
-        a, b, good = self.pair.encode(units)
-        for i in np.flatnonzero(~good).tolist():
-            a[i] = b[i] = []
+        a, b = self.pair.encode(units)
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        flat_a = np.fromiter((x for own in a for x in own), np.int64, int(n_a.sum()))
-        flat_b = np.fromiter((x for own in b for x in own), np.int64, int(n_b.sum()))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
         end_a, end_b = np.cumsum(self.pair.a_size[flat_a]), np.cumsum(self.pair.b_size[flat_b])
         # No token is empty, so each offset is one token's end at most.
         at = np.searchsorted(end_b, end_a)
@@ -143,7 +159,7 @@ class Aligned:
         close = np.cumsum(n_a)
         n_links = np.diff(np.searchsorted(last_a, close), prepend=0)
         self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
-        self.n_links, self.good = np.concatenate([self.n_links, n_links]), np.concatenate([self.good, good])
+        self.n_links, self.good = np.concatenate([self.n_links, n_links]), np.concatenate([self.good, n_b > 0])
         self.keys = np.concatenate([self.keys, (flat_a[last_a] * self.pair.width + flat_b[last_b]).astype(U)])
         if self.with_groups:
             name_a, name_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
@@ -156,12 +172,16 @@ class Aligned:
 
     def texts(self, texts: list[str]) -> list[np.ndarray | None]:
         """The numbers of each text's units; None for a text without tokens."""
-        cut = [UNIT.findall(" " + t) if t else None for t in texts]
+        cut = [(PLAIN if not SOME_ODD.search(t) else UNIT).findall(" " + t) if t else [] for t in texts]
         if len(self.number) > REMEMBER:
             self.forget()
         known = self.number
-        if new := list(dict.fromkeys(u for own in cut if own for u in own if u not in known)):
-            self.learn(new)
+        if new := set(chain.from_iterable(cut)).difference(known):
+            gc.disable()  # many small lists, none in a cycle
+            try:
+                self.learn(list(new))
+            finally:
+                gc.enable()
         out: list[np.ndarray | None] = []
         for own in cut:
             at = np.fromiter(map(known.__getitem__, own), np.int64, len(own)) if own else None
@@ -176,10 +196,18 @@ def pair_of(a_file: str, b_file: str) -> Pair:
     return held[key]
 
 
+def text_of(data: bytes) -> str:
+    """The text, or none where the bytes are not UTF-8: no tokens give these."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return ""
+
+
 def decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     """(number of the first row, texts) of about CHUNK bytes."""
     for at, own in grouped([x or b"" for x in batch["text"].to_pylist()], CHUNK):
-        yield at, [x.decode("utf-8", "surrogatepass") for x in own]
+        yield at, list(map(text_of, own))
 
 
 def links(docs: DataFrame, a_file: str, b_file: str, shards: int = SHARDS) -> DataFrame:
