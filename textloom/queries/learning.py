@@ -247,11 +247,16 @@ def _(t: Tables) -> DataFrame:
     return metrics.six(out, "prediction_psi", "confidence_psi")
 
 
-def logged(t: Tables) -> tuple[str, list]:
-    at = shared_path(t.spark, "stream-log")
-    q = jobs.log(streamed(t).predictions, f"{at}/log", f"{at}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return f"{at}/log", q.recentProgress
+def logged(t: Tables) -> tuple[str, dict[str, int]]:
+    """The folder of the log that the job has written, and its counts."""
+    at, counter = shared_path(t.spark, "stream-log"), jobs.LogCounter()
+    t.spark.streams.addListener(counter)
+    try:
+        q = jobs.log(streamed(t).predictions, f"{at}/log", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return f"{at}/log", counter.counts(q)
+    finally:
+        t.spark.streams.removeListener(counter)
 
 
 @query("stream_prediction_log", "SELECT event_id, predicted_label, processing_time_ms, strftime(ts, '%Y-%m-%d') AS dt FROM predictions")
@@ -264,9 +269,37 @@ def _(t: Tables) -> DataFrame:
 @query("stream_dropped_counts", "SELECT count(*) AS logged, CAST(0 AS BIGINT) AS dropped FROM predictions")
 def _(t: Tables) -> DataFrame:
     """Rows read back from the log, and rows that the job counted as dropped."""
-    at, progress = logged(t)
+    at, counts = logged(t)
     rows = t.spark.read.schema("event_id LONG").json(at)
-    return rows.agg(F.count("*").alias("logged"), F.lit(jobs.log_counts(progress)[1]).cast("long").alias("dropped"))
+    return rows.agg(F.count("*").alias("logged"), F.lit(counts["dropped"]).cast("long").alias("dropped"))
+
+
+@query(
+    "stream_late_counts",
+    """WITH p AS (SELECT event_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE predicted_label END AS label FROM predictions),
+    w AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM p WHERE event_id % 2 = 0 AND label IS NOT NULL),
+    r AS (SELECT label IS NULL AS bad, label IS NOT NULL AND event_id % 2 = 1 AND epoch_us(ts) <= mark * 1000 AS late FROM p, w)
+    SELECT count(*) FILTER (NOT bad AND NOT late) AS logged, count(*) FILTER (bad) AS dropped, count(*) FILTER (late) AS late, CAST(0 AS BIGINT) AS repeated, count(*) FILTER (NOT bad AND NOT late) AS in_log FROM r""",
+)
+def _(t: Tables) -> DataFrame:
+    """A log in two runs of one job: rows with even ids, then those with odd ids,
+    of which all that lie ten minutes before the newest come late; every
+    eleventh row has no label. The counts of both runs, and the rows in the log."""
+    at, counter = shared_path(t.spark, "late-log"), jobs.LogCounter()
+    label = F.when(F.col("event_id") % 11 != 0, F.col("predicted_label"))
+    rows = t.predictions.select("event_id", "ts", label.alias("predicted_label"))
+    t.spark.streams.addListener(counter)
+    try:
+        for odd in (0, 1):
+            rows.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{at}/rows")
+            source = t.spark.readStream.schema(rows.schema).parquet(f"{at}/rows")
+            q = jobs.log(source, f"{at}/log", f"{at}/checkpoint", late="10 minutes").trigger(availableNow=True).start()
+            q.awaitTermination()
+            counts = counter.counts(q)
+    finally:
+        t.spark.streams.removeListener(counter)
+    own = t.spark.read.schema("event_id LONG").json(f"{at}/log").agg(F.count("*").alias("in_log"))
+    return own.select(*[F.lit(counts[k]).cast("long").alias(k) for k in ("logged", "dropped", "late", "repeated")], "in_log")
 
 
 @query("stream_score")
