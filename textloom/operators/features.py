@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, values_of
+
 
 def term_rows(df: DataFrame, identity: str, terms: Column, *keep: str) -> DataFrame:
     """(identity, term, keep...): each term once per row of ``df``."""
@@ -71,23 +73,16 @@ def linear_scores(df: DataFrame, identity: str, terms: Column, weights: DataFram
 
 def weight_stats(weights: DataFrame) -> DataFrame:
     """Mean, population deviation, median and 95th percentile of |weight|."""
-    w = F.abs("weight")
-    return weights.agg(
-        F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.percentile(w, 0.5).alias("median"), F.percentile(w, 0.95).alias("p95"), F.count("*").alias("n")
-    )
+    w = values_of(weights, F.abs("weight"))
+    median, p95 = quantiles(w, [0.5, 0.95])
+    out = w.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("*").alias("n"))
+    return out.select("mean", "std", F.lit(median).cast("double").alias("median"), F.lit(p95).cast("double").alias("p95"), "n")
 
 
 def weight_floor(weights: DataFrame) -> DataFrame:
-    """The same with the element at ⌊0.95 (n - 1)⌋ of the order as percentile.
-
-    The element is found in buckets of 1/1024 of the largest weight, so only the
-    bucket that holds it is sorted."""
-    w = weights.select(F.abs("weight").alias("w"))
-    total = w.agg(F.max("w").alias("top"), F.count("*").alias("n"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"))
-    rows = w.join(F.broadcast(total)).withColumn("bucket", F.floor(F.coalesce(F.try_divide(F.col("w") * 1024, F.col("top")), F.lit(0.0))))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("m"))
-    counts = counts.withColumn("upto", F.sum("m").over(Window.orderBy("bucket")))
-    at = F.floor(0.95 * (F.col("n") - 1)) + 1
-    rows = rows.join(F.broadcast(counts), "bucket").where((F.col("upto") >= at) & (F.col("upto") - F.col("m") < at))
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy("w")) + F.col("upto") - F.col("m"))
-    return rows.where(F.col("rank") == at).select("mean", "std", F.col("w").alias("p95"), F.col("n"))
+    """The same with the element at ⌊0.95 (n - 1)⌋ of the order as percentile; no
+    row without weights."""
+    w = values_of(weights, F.abs("weight"))
+    (p95,) = quantiles(w, [0.95], between=False)
+    out = w.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("*").alias("n")).where("n > 0")
+    return out.select("mean", "std", F.lit(p95).cast("double").alias("p95"), "n")

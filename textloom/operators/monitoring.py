@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, values_of
+
 # Cut-offs of the monitor.
 LOW_CONFIDENCE = 0.6
 WARNING, CRITICAL = 0.1, 0.25
@@ -13,21 +15,31 @@ RESET = 10_001
 LABELS = ("positive", "negative")
 
 
-def prediction_metrics(df: DataFrame) -> DataFrame:
-    """Totals per label, low-confidence rate, mean confidence and latency."""
+def prediction_totals(df: DataFrame) -> DataFrame:
+    """Totals per label, low-confidence rate, mean confidence and mean latency."""
     n = F.count("*")
     of = lambda label: F.count_if(F.lower("predicted_label") == label)
-    ms = F.col("processing_time_ms")
     return df.agg(
         n.alias("total"), of("positive").alias("positive"), of("negative").alias("negative"), of("uncertain").alias("uncertain"),
         F.try_divide(100.0 * F.count_if(F.col("confidence") < LOW_CONFIDENCE), n).alias("low_confidence_rate"), F.avg("confidence").alias("mean_confidence"),
-        F.avg(ms).alias("latency_mean"), F.percentile(ms, 0.5).alias("latency_p50"), F.percentile(ms, 0.95).alias("latency_p95"), F.percentile(ms, 0.99).alias("latency_p99"),
+        F.avg("processing_time_ms").alias("latency_mean"),
     )
 
 
+def percentiles(df: DataFrame, value: Column, names: dict[str, float]) -> dict[str, Column]:
+    """Exact percentiles as named constants."""
+    found = quantiles(values_of(df, value), list(names.values()))
+    return {name: F.lit(x).cast("double") for name, x in zip(names, found, strict=True)}
+
+
+def prediction_metrics(df: DataFrame) -> DataFrame:
+    """``prediction_totals`` and exact percentiles of the latency."""
+    return prediction_totals(df).withColumns(percentiles(df, F.col("processing_time_ms"), {"latency_p50": 0.5, "latency_p95": 0.95, "latency_p99": 0.99}))
+
+
 def confidence_summary(df: DataFrame) -> DataFrame:
-    p = F.percentile(F.col("confidence") * 100, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.agg(p.alias("p")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+    found = percentiles(df, F.col("confidence") * 100, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return df.sparkSession.range(1).select(*[c.alias(name) for name, c in found.items()])
 
 
 def reference_window(df: DataFrame, n: int) -> DataFrame:

@@ -98,3 +98,27 @@ def checksum(df: DataFrame, columns: list[str], groups: list[Column]) -> DataFra
     buckets = rows.groupBy(*names, F.substring("row__", 1, 3).alias("bucket__")).agg(hashed("row__").alias("own__"), F.count("*").alias("n__"))
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket__", "own__"))), lambda x: x["own__"]), "")
     return buckets.groupBy(*names).agg(F.sum("n__").alias("rows"), F.sha2(ordered, 256).alias("checksum"))
+
+
+LANES = 4
+
+
+def multiset(df: DataFrame, columns: list[str], groups: list[Column]) -> DataFrame:
+    """(groups, rows, s0 to s3): an order-free hash of each group's rows, repeats
+    included. The hash of a row is four numbers of 60 bits, and a group's is
+    their sums, so parts merge by adding up and no list of rows is ever held."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+    rows = df.select(*groups, row.alias("row__"))
+    lane = lambda i: F.conv(F.substring("row__", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
+    names = [c for c in rows.columns if c != "row__"]
+    return rows.groupBy(*names).agg(F.count("*").alias("rows"), *(F.sum(lane(i)).cast("decimal(38,0)").alias(f"s{i}") for i in range(LANES)))
+
+
+def merged(sums: DataFrame, groups: list[str]) -> DataFrame:
+    """``multiset`` of larger groups from those of their parts."""
+    return sums.groupBy(*groups).agg(F.sum("rows").alias("rows"), *(F.sum(f"s{i}").cast("decimal(38,0)").alias(f"s{i}") for i in range(LANES)))
+
+
+def digest() -> Column:
+    """The checksum of a row of ``multiset``."""
+    return F.sha2(F.concat_ws(":", "rows", *[F.col(f"s{i}").cast("string") for i in range(LANES)]), 256)

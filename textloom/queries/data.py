@@ -183,6 +183,16 @@ def _(t: Tables) -> DataFrame:
     return own.join(again.withColumnsRenamed({"rows": "r", "checksum": "c"}), "split", "left").select("split", "rows", F.expr("coalesce(rows = r and checksum = c, false)").alias("valid"))
 
 
+LANES = [f"sum(CAST(('0x' || substring(h, {15 * i + 1}, 15)) AS BIGINT))" for i in range(4)]
+
+
+@query("op_split_multiset", f"WITH {SPLIT}, h AS ({ROWS}) SELECT split, count(*) AS rows, sha256(concat_ws(':', count(*), {', '.join(LANES)})) AS digest FROM h GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    """The mergeable checksum of each split, added up from those of its labels."""
+    parts = sampling.multiset(split_samples(t), ["id", "label"], [F.col("split"), F.col("label").alias("part")])
+    return sampling.merged(parts, ["split"]).select("split", "rows", sampling.digest().alias("digest"))
+
+
 @query("set_union", "SELECT DISTINCT term FROM (SELECT lang AS term FROM documents UNION SELECT source FROM documents)")
 def _(t: Tables) -> DataFrame:
     d = t["documents"]

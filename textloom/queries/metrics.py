@@ -294,6 +294,6 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg_health_snapshot", f"WITH {DRIFT}, st AS ({STATUS}), p AS (SELECT count(*) AS total, round(avg(confidence), 6) AS mean_confidence, round(100.0 * count_if(confidence < 0.6) / count(*), 6) AS low_confidence_rate FROM predictions), d AS (SELECT count_if(status = 'critical') AS critical, count(*) AS models FROM st) SELECT total, mean_confidence, low_confidence_rate, critical, models FROM p, d")
 def _(t: Tables) -> DataFrame:
-    a = monitoring.prediction_metrics(t.predictions).select("total", "mean_confidence", "low_confidence_rate")
+    a = monitoring.prediction_totals(t.predictions).select("total", "mean_confidence", "low_confidence_rate")
     b = monitoring.drift(t.predictions, N, M).agg(F.count_if(F.col("status") == "critical").alias("critical"), F.count("*").alias("models"))
     return six(a.join(F.broadcast(b)), "mean_confidence", "low_confidence_rate")

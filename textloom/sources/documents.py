@@ -15,9 +15,23 @@ performance STRUCT<accuracy: DOUBLE, macro_f1: DOUBLE, macro_precision: DOUBLE,
 artifacts STRUCT<model_size_bytes: BIGINT>"""
 
 
-def manifest(split: DataFrame, domain: str, seed: int, columns: list[str], label: str = "label") -> DataFrame:
-    """One row that describes a split: counts and checksum of each part."""
-    sums = sampling.checksum(split, columns, [F.col("split")])
+def split_digests(split: DataFrame, columns: list[str]) -> DataFrame:
+    """(split, rows, checksum), by sums that need no list of rows."""
+    return sampling.multiset(split, columns, [F.col("split")]).select("split", "rows", sampling.digest().alias("checksum"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(split, file, bytes, sha256) of the files under a folder by split, hashed
+    byte by byte where they are read, one file at a time in a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    split = F.regexp_extract("path", r"/split=([^/]+)/", 1)
+    return files.select(split.alias("split"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest(split: DataFrame, domain: str, seed: int, columns: list[str], label: str = "label", mergeable: bool = False) -> DataFrame:
+    """One row that describes a split: counts and checksum of each part; of large
+    parts take the ``mergeable`` checksum."""
+    sums = split_digests(split, columns) if mergeable else sampling.checksum(split, columns, [F.col("split")])
     counts = split.groupBy("split").agg(F.count_if(F.col(label) == "positive").alias("positive"), F.count_if(F.col(label) == "negative").alias("negative"))
     part = F.struct(F.col("split").alias("file"), F.col("rows").alias("samples"), F.col("checksum").alias("sha256"), "positive", "negative")
     rows = sums.join(counts, "split")
