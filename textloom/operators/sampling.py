@@ -28,6 +28,13 @@ def quota_sample(df: DataFrame, most: int, order: str, label: str = "label") ->
     return rows.join(quotas(df, most, label), label).where("rank__ <= quota").drop("rank__", "n", "quota")
 
 
+def first_by_place(df: DataFrame, most: int, label: str = "label") -> DataFrame:
+    """``quota_sample`` in the order of ``place`` (file, start, line): lines are
+    numbered within (class, split of a file), so no task ranks a whole class."""
+    rows = ranked(df.withColumn("line__", F.col("place.line")), [label], ["line__"], F.struct("place.file", "place.start"), "rank__")
+    return rows.join(quotas(df, most, label), label).where("rank__ <= quota").drop("rank__", "n", "quota", "line__")
+
+
 def quota_deviation(sample: DataFrame, quota: DataFrame, label: str = "label") -> DataFrame:
     actual = sample.groupBy(label).agg(F.count("*").alias("actual"))
     out = quota.join(actual, label, "left").withColumn("actual", F.coalesce("actual", F.lit(0)))

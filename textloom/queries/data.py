@@ -109,6 +109,19 @@ def _(t: Tables) -> DataFrame:
     return sampling.quota_sample(t.samples, 100, "id").select("id", "label")
 
 
+@query("src_quota_sample_files", f"WITH {QUOTA} SELECT o.id, o.label FROM ordered o JOIN quota q ON o.label = q.label WHERE o.r <= q.quota")
+def _(t: Tables) -> DataFrame:
+    """The first lines of each class by their place in several text files, which
+    hold the samples in the order of their ids; no column tells the order."""
+    from ..sources import labeled, shared_path
+
+    at, parts = shared_path(t.spark, "lines"), 4 * t.spark.sparkContext.defaultParallelism
+    rows = t.samples.select("id", "label", "text").repartitionByRange(parts, "id").sortWithinPartitions("id")
+    rows.select(F.to_json(F.struct("id", "label", "text"))).write.text(at)
+    lines = labeled.placed(t.spark, at).withColumn("row", F.from_json("value", "id long, label string"))
+    return sampling.first_by_place(lines.select("row.*", "place"), 100).select("id", "label")
+
+
 @query("src_quota_deviation", f"WITH {QUOTA} SELECT label, n, quota, least(n, quota) AS actual, round(abs(least(n, quota) - quota) * 1.0 / quota, 6) AS deviation FROM quota")
 def _(t: Tables) -> DataFrame:
     sample = sampling.quota_sample(t.samples, 100, "id")
@@ -294,6 +307,35 @@ def _(t: Tables) -> DataFrame:
     return features.weight_floor(weights(t)).select(*[rounded(F.col(c)).alias(c) for c in ("mean", "std", "p95")], "n")
 
 
+BAYES = f"""{O.SAMPLE_WORDS}, {SPLIT}, tr AS (SELECT t.id, t.label, t.term FROM terms t JOIN splits s ON s.id = t.id WHERE s.split = 'train'),
+cls AS (SELECT label, count(*) AS n FROM splits WHERE split = 'train' GROUP BY label),
+kt AS (SELECT label, term, count(*) AS k FROM tr GROUP BY 1, 2), rk AS (SELECT term, row_number() OVER (PARTITION BY label ORDER BY k DESC, term) AS r FROM kt), vocab AS (SELECT DISTINCT term FROM rk WHERE r <= 5000),
+mu AS (SELECT c.label, v.term, coalesce(kt.k, 0) * 1.0::DOUBLE / c.n AS mean FROM vocab v CROSS JOIN cls c LEFT JOIN kt ON kt.term = v.term AND kt.label = c.label),
+sd AS (SELECT label, term, mean, greatest(sqrt(greatest(mean - mean * mean, 0)), 1.0::DOUBLE / 6) AS sd FROM mu),
+zero AS (SELECT sd.label, sum(-ln(sd) - mean * mean / (2 * sd * sd)) + ln((any_value(cls.n) + 1) * 1.0::DOUBLE / (SELECT sum(n) + count(*) FROM cls)) AS start FROM sd JOIN cls ON cls.label = sd.label GROUP BY sd.label),
+te AS (SELECT id, label FROM splits WHERE split = 'test'),
+gain AS (SELECT t.id, sd.label, sum((2 * mean - 1) / (2 * sd * sd)) AS g FROM terms t JOIN te ON te.id = t.id JOIN sd ON sd.term = t.term GROUP BY 1, 2),
+sc AS (SELECT te.id, te.label AS actual, z.label, start + coalesce(g, 0) AS s FROM te CROSS JOIN zero z LEFT JOIN gain ON gain.id = te.id AND gain.label = z.label),
+pr AS (SELECT id, actual, label, s, exp(s - max(s) OVER w) / sum(exp(s - (SELECT max(x.s) FROM sc x WHERE x.id = sc.id))) OVER w AS prob FROM sc WINDOW w AS (PARTITION BY id))"""
+
+
+@query("ml_gaussian_bayes", f"WITH {BAYES} SELECT id, actual, max_by(label, s) AS predicted, round(max(prob), 6) AS prob FROM pr GROUP BY id, actual")
+def _(t: Tables) -> DataFrame:
+    """Test rows under normal distributions per class and term, fitted on the
+    train rows' presence of 5000 terms of each class."""
+    from ..plans import bayes
+
+    split = split_samples(t).select("id", "label", "split")
+    train, test = split.where("split = 'train'"), split.where("split = 'test'").withColumnRenamed("label", "actual")
+    rows = sample_terms(t).select("id", "label", "term", F.lit(1.0).alias("x"))
+    own = rows.join(train.select("id"), "id", "left_semi")
+    vocab = features.top_terms_per_class(own, 5000).select("term").distinct()
+    counts = sampling.label_counts(train)
+    scores = bayes.score(bayes.fit(own, counts, vocab), counts, test, rows.drop("label").join(test.select("id"), "id", "left_semi"))
+    best = scores.groupBy("id").agg(F.max_by("label", "score").alias("predicted"), F.max("prob").alias("prob"))
+    return test.select("id", "actual").join(best, "id").select("id", "actual", "predicted", rounded(F.col("prob")).alias("prob"))
+
+
 @query("op_direction", f"WITH {MI}, {WEIGHTS} SELECT term, CASE WHEN weight > 0 THEN 'positive' WHEN weight < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM weights")
 def _(t: Tables) -> DataFrame:
     from ..functions.labels import direction

@@ -52,6 +52,14 @@ def read_prefixed_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(trim(F.regexp_replace(line, r"^__label__\S+\s+", "")).alias("text"), raw.alias("raw_label"))
 
 
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, place) of the lines of text files: ``place`` is (file, first byte
+    of the split, number in the task that reads it) and ascends with the files'
+    names and the lines in them, however Spark deals the splits out."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", at.alias("place"))
+
+
 def star_reviews(reviews: DataFrame, text: str = "text", stars: str = "stars") -> DataFrame:
     label = F.when(F.col(stars) >= 4, "positive").when(F.col(stars) <= 2, "negative").otherwise("neutral")
     return reviews.select(trim(F.col(text)).alias("text"), label.alias("raw_label"))
