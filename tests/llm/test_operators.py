@@ -497,8 +497,8 @@ def brute_templates(counts, alike, name):
     while True:
         buckets, mine = {}, {}
         for x in pool:
-            n = int((1 - alike) * len(x) + 1e-9) + 1
-            mine[x] = [(leaf(x), i, x[len(x) * i // n : len(x) * (i + 1) // n]) for i in range(n)]
+            sets = lines.agreeing(len(x), alike)
+            mine[x] = [(leaf(x), i, *(x[s.start // 2 : s.stop // 2] for s in own)) for i, own in enumerate(sets)]
             for k in mine[x]:
                 buckets.setdefault(k, []).append(x)
         found = {}
@@ -542,6 +542,57 @@ def test_template_tree_against_brute_force(spark):
     assert got == {name[a]: name[b] for a, b in want.items()} and len(set(want.values())) > 6
 
 
+def test_one_set_of_places_agrees_in_alike_lines():
+    rng = random.Random(3)
+    for tokens in range(1, 90):
+        sets, lead = lines.agreeing(tokens, 0.7), lines.DEPTH + tokens // lines.DEEPER
+        assert len(sets) <= max(lines.KEYS, int(0.3 * tokens + 1e-9) + 1)
+        for _ in range(40):
+            differ = {2 * p for p in rng.sample(range(lead, tokens), min(int(0.3 * tokens + 1e-9), max(0, tokens - lead)))} if tokens > lead else set()
+            assert any(not differ & {p for s in own for p in range(s.start, s.stop, 2)} for own in sets)
+
+
+def test_no_line_alike_another_is_lost(spark):
+    """All pairs of a leaf: up to seven tokens every line that is alike another
+    has a template, of longer ones nine in ten; joined lines are alike."""
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    forms = [["we", "say", *[word(3) for _ in range(rng.randint(2, 16))]] for _ in range(25)]
+    texts, counts = [], Counter()
+    for _ in range(150):
+        own = set()
+        for _ in range(5):
+            line = list(rng.choice(forms))
+            for p in rng.sample(range(2, len(line)), rng.randint(0, (len(line) - 2) // 2)):
+                line[p] = rng.choice(["x", "y", word(6)])
+            own.add(tuple(line))
+        counts.update(own)
+        texts.append("\n".join(" ".join(x) for x in own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    parsed = scratch.keep(lines.parsed(df), "lines")
+    n = parsed.where("lead").groupBy("line").agg(F.count("*").alias("n"), F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
+    got = {r.line: r.template for r in lines.templates(lines.crowded(parsed, n, scratch, 1), scratch, 0.7).collect()}
+    hashes = lines.coded(["\n".join(map(" ".join, counts)).encode()], lines.Powers())["line"].view(np.int64).tolist()
+    line = dict(zip(hashes, counts, strict=True))
+    near = lambda a, b: len(a) == len(b) and a[:2] == b[:2] and sum(x == y for x, y in zip(a, b)) >= 0.7 * len(a) - 1e-9
+    assert all(near(line[a], line[b]) and counts[line[b]] >= counts[line[a]] for a, b in got.items())
+    paired = {h for h, a in line.items() if any(a != b and near(a, b) for b in counts)}
+    short = {h for h in paired if len(line[h]) <= 7}
+    # a line whose every alike line went to other templates is a template of its own
+    alone = {h for h in paired - got.keys() if not any(near(line[h], line[t]) for t in set(got.values()))}
+    assert len(short) > 40 and short <= got.keys() | alone and len(paired - got.keys() - alone) <= 0.1 * len(paired)
+
+
+def test_a_commoner_line_does_not_hide_a_template(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    prose = lambda: " ".join(word() for _ in range(12))
+    texts = [f"{prose()}\nplease read the {word()}\n{prose()}" for _ in range(30)] + [f"{prose()}\nplease read our terms\n{prose()}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_dropped for r in lines.without_recurring_lines(df).collect()} == {1}
+
+
 def test_joins_are_alike_beyond_the_bound(spark):
     from textloom.llm.common import looked_up
 

@@ -8,16 +8,21 @@ list of templates, and a line joins the one most alike that agrees with it at
 variable fields.
 
 The lists are grown in turns over the distinct lines of all leaves at once. A
-line may differ from its template at m places at most, so of m + 1 blocks of
-places one is the same in both: every line is entered under each of its blocks,
-the commonest template and the commonest other line of a block's bucket stand
-for it, and each line is compared with those that its buckets name. Lines alike
-one that is itself alike no commoner one join the best of these, which is a
-template from then on; the next turn judges what is left, until a turn joins no
-line. Any other line is a template of its own. No bucket is gathered: what
-stands for it is a grouped maximum, and a line is compared with 2 (m + 1) others
-at most, so it can miss a template only if each block that they share names a
-commoner one.
+line may differ from its template at m places at most, none of them leading. The
+other places are cut into blocks, and as at most m blocks can differ, a line is
+entered under every set of all blocks but m. The commonest template and the
+commonest other line of a set's bucket stand for it, and each line is compared
+with those that its buckets name. Lines alike one that is itself alike no
+commoner one join the best of these, which is a template from then on; the next
+turn judges what is left, until a turn joins no line. Any other line is a
+template of its own. No bucket is gathered: what stands for it is a grouped
+maximum.
+
+Where a block is one place (lines of up to seven tokens at the default), all
+lines of a bucket are alike, so no line that is alike one still there is missed.
+In longer lines a bucket can name a line that a member is not alike; the
+member is then missed only if that holds for all buckets it shares with lines
+alike it.
 
 A template recurs if it stands in documents of at least ``min_texts`` different
 kinds, the kind of a document being the template of its longest other line:
@@ -47,6 +52,8 @@ pass through, but n_lines and n_dropped are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, pairwise
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +70,8 @@ DEPTH, DEEPER = 2, 25
 MASK = 65535
 #: Bytes of texts that are hashed together.
 CHUNK = 1 << 20
+#: Sets of places under which a line is entered, if so few can do.
+KEYS = 12
 #: Tokens from which a template recurs in two kinds of documents.
 LONG = 50
 
@@ -163,23 +172,34 @@ def crowded(lines: DataFrame, counts: DataFrame, scratch: Scratch, min_texts: in
     return scratch.keep(own.agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"), F.first("fields").alias("fields"), F.lit(False).alias("head")), "crowded")
 
 
-def block_cuts(tokens: int, alike: float) -> list[int]:
-    """Bounds of the blocks of places, one more than the places that may differ."""
-    n = int((1 - alike) * tokens + 1e-9) + 1
-    return [tokens * i // n for i in range(n + 1)]
+def agreeing(tokens: int, alike: float) -> list[list[slice]]:
+    """Sets of places of which one is equal in any two alike lines of a leaf, as
+    slices of their fields. The places behind the leading tokens are cut into
+    blocks, as many as ``KEYS`` sets allow; lines alike differ in so many blocks
+    at most, so a set is all blocks but so many."""
+    lead = min(tokens, DEPTH + tokens // DEEPER)
+    rest, differ = tokens - lead, int((1 - alike) * tokens + 1e-9)
+    if differ >= rest:
+        return [[]]
+    parts = max((n for n in range(differ + 1, rest + 1) if comb(n, differ) <= KEYS), default=differ + 1)
+    cuts = [2 * (lead + rest * i // parts) for i in range(parts + 1)]
+    blocks = [slice(s, e) for s, e in pairwise(cuts)]
+    return [list(own) for own in combinations(blocks, parts - differ)]
 
 
 def block_keys(pool: DataFrame, alike: float) -> DataFrame:
-    """(key, line, n, head): each line under every one of its blocks."""
+    """(key, line, n, head): each line under every set of its ``agreeing`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[list[slice]]] = {}
         for b in batches:
             keys, times = [], []
             for leaf, fields in zip(b["leaf"].to_pylist(), b["fields"].to_pylist(), strict=True):
-                cuts = block_cuts(len(fields) // 2, alike)
+                if (sets := known.get(len(fields))) is None:
+                    sets = known[len(fields)] = agreeing(len(fields) // 2, alike)
                 lead = leaf.to_bytes(8, "little", signed=True)
-                keys += [xxhash.xxh64_intdigest(lead + i.to_bytes(4, "little") + fields[2 * s : 2 * e]) - (1 << 63) for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                times.append(len(cuts) - 1)
+                keys += [xxhash.xxh64_intdigest(b"".join([lead, i.to_bytes(4, "little"), *[fields[x] for x in own]])) - (1 << 63) for i, own in enumerate(sets)]
+                times.append(len(sets))
             at = pa.array(np.repeat(np.arange(len(times)), times))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(b[c].take(at) for c in ("line", "n", "head"))], ["key", "line", "n", "head"])
 
