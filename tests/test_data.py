@@ -108,4 +108,6 @@ def test_mutual_information(spark):
     c = 0.25 * math.log(0.25 / (0.75 * 0.5)) + 0.5 * math.log(0.5 / (0.75 * 0.5)) + 0.25 * math.log(0.25 / (0.25 * 0.5))
     assert got["c"] == pytest.approx(c)
     vocab = {r.term: (r.tf, r.df) for r in features.vocab_counts(df, F.split("text", " ")).collect()}
+    odd = spark.createDataFrame([(["b", None, "a", "b", ""],), (None,), ([],), (["b"],)], "terms array<string>")
+    assert {r.term: (r.tf, r.df) for r in features.vocab_counts(odd, F.col("terms")).collect()} == {"a": (1, 1), "b": (3, 2)}
     assert vocab == {"a": (2, 2), "b": (2, 2), "c": (3, 3)}

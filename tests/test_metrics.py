@@ -29,6 +29,23 @@ def test_auc(spark):
     assert evaluation.roc_auc(df, steps=2).first().auc == pytest.approx(want)
 
 
+def test_pr_auc_against_plain_points(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.0, 0.1, 0.25, 0.5, 0.75, 1.0, rng.random()]), int(rng.random() < 0.4)) for g in "ab" for _ in range(80)]
+    df = spark.createDataFrame([*rows, ("a", None, 1), ("none", 0.5, 0)], "g string, prob double, y int")
+    for steps in (1, 3, 1024):
+        got = {r.g: r.pr_auc for r in evaluation.pr_auc(df, "g", steps=steps).collect()}
+        for g in "ab":
+            own = [(p, y) for x, p, y in rows if x == g]
+            points = []
+            for cut in sorted({p for p, _ in own}, reverse=True):
+                called = [y for p, y in own if p >= cut]
+                points.append((sum(called) / sum(y for _, y in own), sum(called) / len(called)))
+            points = [(0.0, points[0][1]), *points]
+            assert got[g] == pytest.approx(sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:])))
+        assert got["none"] is None
+
+
 def test_calibration(spark):
     df = lambda *rows: spark.createDataFrame(rows, "prob double, y int")
     assert calibration.brier(df(*[(0.0, 1)] * 3, *[(1.0, 0)] * 3)).first()[0] == 1

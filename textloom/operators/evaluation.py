@@ -65,6 +65,28 @@ def roc_auc(df: DataFrame, prob: str = "prob", y: str = "y", steps: int = 1024)
     return per.agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
+def pr_auc(df: DataFrame, *groups: str, prob: str = "prob", y: str = "y", steps: int = 1024) -> DataFrame:
+    """(groups, pr_auc): area under precision over recall, exact: a point for each
+    score, joined by straight lines, starting at the first point's precision.
+
+    Rows are summed per score first; scores are ordered inside ``steps`` buckets
+    of the unit interval, so no task orders all of them. A probability of null
+    is left out; without positive rows the area is null."""
+    per = df.where(F.col(prob).isNotNull()).groupBy(*groups, F.col(prob).alias("p"))
+    per = per.agg(F.sum(y).cast("double").alias("pos"), F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("p") * steps))
+    higher = Window.partitionBy(*groups).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*groups, "bucket").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    buckets = per.groupBy(*groups, "bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    buckets = buckets.select(*groups, "bucket", before("pos", higher).alias("pos_above"), before("n", higher).alias("n_above"))
+    per = per.withColumns({"pos_before": before("pos", own), "n_before": before("n", own)})
+    per = per.join(F.broadcast(buckets), [*groups, "bucket"])  # at most ``steps`` and one for each group
+    hits, called = F.col("pos_above") + F.col("pos_before"), F.col("n_above") + F.col("n_before")
+    here = (hits + F.col("pos")) / (called + F.col("n"))
+    area = F.sum(F.col("pos") * (here + F.coalesce(F.try_divide(hits, called), here)) / 2)
+    return per.groupBy(*groups).agg(F.try_divide(area, F.sum("pos")).alias("pr_auc"))
+
+
 def smooth(probabilities: Column, least: float = 0.001) -> Column:
     """Clamp to [least, 1 - least] and divide by the sum."""
     from ..functions.basic import let

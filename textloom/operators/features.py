@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.basic import let
 from .quantiles import quantiles, values_of
 
 
@@ -14,10 +15,13 @@ def term_rows(df: DataFrame, identity: str, terms: Column, *keep: str) -> DataFr
 
 
 def vocab_counts(df: DataFrame, terms: Column) -> DataFrame:
-    """(term, tf, df): occurrences and rows with the term."""
-    rows = df.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("tf"))
-    docs = df.select(F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    return rows.join(docs, "term")
+    """(term, tf, df): occurrences and rows with the term.
+
+    One pass: a row's terms are put in order, so each knows whether it is the
+    first of its kind there, and one grouped sum gives both counts."""
+    first = lambda a: F.transform(a, lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get(a, i - 1))).alias("first")))
+    rows = df.select(F.explode(let(F.array_sort(terms), first)).alias("t")).select("t.*").where("term <> ''")
+    return rows.groupBy("term").agg(F.count("*").alias("tf"), F.count_if("first").alias("df"))
 
 
 def mutual_information(rows: DataFrame, label_counts: DataFrame, label: str = "label") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import trim
@@ -13,6 +13,11 @@ NEGATIVE_WORDS = ("terrible", "awful", "horrible", "worst", "bad", "hate", "hate
 BALANCE_OK, DUPLICATES_OK, LENGTH_OK, BIAS = 0.8, 0.01, (10, 100_000), 0.20
 
 
+def digest(text: Column) -> Column:
+    """Tells texts apart by their SHA-256, so that no whole text is shuffled."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, percent, balance): balance is the smallest over the largest."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -26,7 +31,7 @@ def length_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    out = df.agg(F.count("*").alias("n"), F.count_distinct(F.lower(trim(F.col(text)))).alias("unique_texts"))
+    out = df.agg(F.count("*").alias("n"), F.count_distinct(digest(F.lower(trim(F.col(text))))).alias("unique_texts"))
     return out.withColumn("duplicates", F.col("n") - F.col("unique_texts"))
 
 
@@ -55,13 +60,13 @@ def length_bias(df: DataFrame, text: str = "text", label: str = "label") -> Data
 
 
 def duplicate_rate(df: DataFrame, text: str = "text") -> DataFrame:
-    per = df.groupBy(text).agg(F.count("*").alias("n"))
+    per = df.groupBy(digest(F.col(text)).alias("d")).agg(F.count("*").alias("n"))
     return per.agg((F.count_if(F.col("n") > 1) / F.sum("n")).alias("duplicate_rate"))
 
 
 def label_inconsistency(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    per = df.groupBy(text).agg(F.count_distinct(label).alias("labels"))
-    return per.agg((F.count_if(F.col("labels") > 1) / F.count("*")).alias("inconsistency"))
+    per = df.groupBy(digest(F.col(text)).alias("d")).agg((F.min(label) < F.max(label)).alias("several"))
+    return per.agg((F.count_if("several") / F.count("*")).alias("inconsistency"))
 
 
 def suspicious(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:

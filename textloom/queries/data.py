@@ -10,6 +10,7 @@ from ..adapters import quoted as q
 from ..functions.basic import rounded
 from ..operators import features, quality, sampling
 from ..operators.ranks import shuffled
+from ..plans import bayes
 from ..registry import query
 from . import oracle_text as O
 
@@ -265,7 +266,12 @@ def _(t: Tables) -> DataFrame:
     return features.top_terms_per_class(sample_terms(t), 100)
 
 
-TOP = "ranked AS (SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, term) AS r FROM terms GROUP BY 1, 2), vocab AS (SELECT DISTINCT term FROM ranked WHERE r <= 100)"
+def class_vocabulary(t: Tables) -> DataFrame:
+    """(term): the union of each class's 5000 commonest terms."""
+    return features.top_terms_per_class(sample_terms(t), 5000).select("term").distinct()
+
+
+TOP = "ranked AS (SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, term) AS r FROM terms GROUP BY 1, 2), vocab AS (SELECT DISTINCT term FROM ranked WHERE r <= 5000)"
 
 
 @query(
@@ -273,10 +279,46 @@ TOP = "ranked AS (SELECT label, term, row_number() OVER (PARTITION BY label ORDE
     f"WITH {O.SAMPLE_WORDS}, {TOP}, c AS (SELECT w.id, w.term, count(*) AS tf FROM sample_words w JOIN vocab v ON v.term = w.term GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT c.id, c.term, round(ln(1 + tf) * ln(((SELECT count(*) FROM samples) + 1) * 1.0 / (df + 1)), 6) AS weight FROM c JOIN d ON c.term = d.term",
 )
 def _(t: Tables) -> DataFrame:
-    vocab = features.top_terms_per_class(sample_terms(t), 100).select("term").distinct()
+    vocab = class_vocabulary(t)
     return features.tf_idf(t.samples, "id", words_of(t), vocab).withColumn("weight", rounded(F.col("weight")))
 
 
+NORMAL = f"""{O.SAMPLE_WORDS}, {TOP}, {COUNTS}, x AS (SELECT w.id, w.label, w.term, count(*)::DOUBLE AS x FROM sample_words w JOIN vocab v ON v.term = w.term GROUP BY 1, 2, 3),
+sums AS (SELECT label, term, sum(x) AS s, sum(x * x) AS ss FROM x GROUP BY 1, 2),
+moments AS (SELECT c.label, v.term, coalesce(s, 0) / c.n AS mean, coalesce(ss, 0) / c.n AS square FROM vocab v CROSS JOIN counts c LEFT JOIN sums ON sums.term = v.term AND sums.label = c.label),
+normal AS (SELECT label, term, mean, greatest(sqrt(greatest(square - mean * mean, 0)), 1::DOUBLE / 6) AS sd FROM moments)"""
+
+
+def normal_bayes(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The model in closed form, the counts of the classes, (id, term, x)."""
+    vocab = class_vocabulary(t)
+    rows = t.samples.select("id", "label", F.explode(words_of(t)).alias("term")).join(vocab, "term", "left_semi")
+    rows = rows.groupBy("id", "label", "term").agg(F.count("*").cast("double").alias("x"))
+    counts = sampling.label_counts(t.samples)
+    return bayes.fit(rows, counts, vocab), counts, rows
+
+
+@query("ml_normal_bayes_moments", f"WITH {NORMAL} SELECT label, term, round(mean, 6) AS mean, round(sd, 6) AS sd FROM normal")
+def _(t: Tables) -> DataFrame:
+    """Mean and deviation of every term in every class, zeros included."""
+    model, _, _ = normal_bayes(t)
+    return model.select("label", "term", rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"))
+
+
+@query(
+    "ml_normal_bayes_scores",
+    f"""WITH {NORMAL}, start AS (SELECT m.label, sum(-ln(sd) - mean * mean / (2 * sd * sd)) + ln((c.n + 1.0::DOUBLE) / ((SELECT sum(n) + count(*) FROM counts))) AS start FROM normal m JOIN counts c ON c.label = m.label GROUP BY m.label, c.n),
+    gains AS (SELECT x.id, m.label, sum((2 * x.x * m.mean - x.x * x.x) / (2 * m.sd * m.sd)) AS gain FROM x JOIN normal m ON m.term = x.term GROUP BY 1, 2),
+    scores AS (SELECT p.id, s.label, s.start + coalesce(g.gain, 0) AS score FROM samples p CROSS JOIN start s LEFT JOIN gains g ON g.id = p.id AND g.label = s.label)
+    SELECT id, label, round(exp(score - max(score) OVER w) / sum(exp(score - top)) OVER w, 6) AS prob FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM scores) WINDOW w AS (PARTITION BY id)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Every row's probability of every class, the rows being those fitted on."""
+    model, counts, rows = normal_bayes(t)
+    out = bayes.score(model, counts, t.samples, rows.select("id", "term", "x"))
+    return out.select("id", "label", rounded(F.col("prob")).alias("prob"))
+
+
 @query("op_vocab_overlap", f"WITH {O.SAMPLE_WORDS}, a AS (SELECT DISTINCT term FROM terms WHERE domain = 'en'), b AS (SELECT DISTINCT term FROM terms WHERE domain = 'de') SELECT count_if(term IN (SELECT term FROM b)) AS shared, count(*) AS total, round(count_if(term IN (SELECT term FROM b)) * 1.0 / count(*), 6) AS ratio FROM a")
 def _(t: Tables) -> DataFrame:
     rows = sample_terms(t)

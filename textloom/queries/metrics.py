@@ -65,13 +65,21 @@ def _(t: Tables) -> DataFrame:
     return six(evaluation.roc_auc(t.scored), "auc")
 
 
-@query("agg_pr_auc")
+@query(
+    "agg_pr_auc",
+    """WITH r AS (SELECT 'negative' AS class, 1 - prob AS p, 1 - y AS y FROM scored UNION ALL SELECT 'positive', prob, y FROM scored),
+    s AS (SELECT class, p, sum(y) AS pos, count(*) AS k FROM r GROUP BY 1, 2),
+    c AS (SELECT class, pos, k, sum(pos) OVER w AS hits, sum(k) OVER w AS called FROM s WINDOW w AS (PARTITION BY class ORDER BY p DESC)),
+    a AS (SELECT class, sum(pos * (hits * 1.0::DOUBLE / called + coalesce((hits - pos) * 1.0::DOUBLE / nullif(called - k, 0), hits * 1.0::DOUBLE / called)) / 2) / sum(pos) AS area FROM c GROUP BY class)
+    SELECT (SELECT count(*) FROM scored) AS n, round(max(CASE WHEN class = 'positive' THEN area END), 6) AS pr_auc, round(max(CASE WHEN class = 'negative' THEN area END), 6) AS pr_auc_negative, round(avg(area), 6) AS pr_auc_macro FROM a""",
+)
 def _(t: Tables) -> DataFrame:
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    rows = t.scored.select(F.col("prob"), F.col("y").cast("double").alias("y"))
-    area = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="y", metricName="areaUnderPR").evaluate(rows)
-    return t.scored.agg(F.count("*").alias("n")).withColumn("pr_auc", rounded(F.lit(area)))
+    """The area of each class against the other, and their mean."""
+    sides = F.array(F.struct(F.lit("negative").alias("class"), (1 - F.col("prob")).alias("prob"), (1 - F.col("y")).alias("y")), F.struct(F.lit("positive").alias("class"), "prob", "y"))
+    areas = evaluation.pr_auc(t.scored.select(F.explode(sides).alias("s")).select("s.*"), "class")
+    of = lambda c: F.max(F.when(F.col("class") == c, F.col("pr_auc")))
+    out = areas.agg(of("positive").alias("pr_auc"), of("negative").alias("pr_auc_negative"), F.avg("pr_auc").alias("pr_auc_macro"))
+    return six(t.scored.agg(F.count("*").alias("n")).join(F.broadcast(out)), *out.columns)
 
 
 @query("agg_brier", "SELECT round(avg((prob - y) ** 2), 6) AS brier FROM scored")
@@ -230,7 +238,7 @@ def _(t: Tables) -> DataFrame:
     return rows.agg(F.count("*").alias("processed"), F.count_if(~fail).alias("success"), F.count_if(fail).alias("error"), F.sum("processing_time_ms").alias("total_ms"))
 
 
-N, M = 300, 150
+N, M = 1000, 500
 REF = f"ordered AS (SELECT *, row_number() OVER (PARTITION BY model_version ORDER BY ts, event_id) AS r, row_number() OVER (PARTITION BY model_version ORDER BY ts DESC, event_id DESC) AS back FROM predictions), refw AS (SELECT * FROM ordered WHERE r <= {N}), cmpw AS (SELECT * FROM ordered WHERE r > {N} AND back <= {M})"
 
 
