@@ -606,8 +606,19 @@ def test_joins_are_alike_beyond_the_bound(spark):
 # --- 6 ------------------------------------------------------------------------
 
 
+def segmentations(word, pieces):
+    """All ways to write a word: (score, pieces used, how many)."""
+    if not word:
+        return [(0, [], 0)]
+    heads = [(pieces[word[:k]], [word[:k]], 1, k) for k in range(1, len(word) + 1) if word[:k] in pieces]
+    if word[0] not in pieces:
+        n = len(word[0].encode())
+        heads.append((n * (min(pieces.values()) + tokens.BYTE), [], n, 1))
+    return [(x + y, own + more, n + m) for x, own, n, k in heads for y, more, m in segmentations(word[k:], pieces)]
+
+
 def brute_count(word, pieces):
-    best = [(0.0, 0)]
+    best = [(0, 0)]
     for d in range(1, len(word) + 1):
         found = []
         for s in range(d):
@@ -615,21 +626,56 @@ def brute_count(word, pieces):
                 found.append((best[s][0] + pieces[word[s:d]], -(best[s][1] + 1)))
         if word[d - 1] not in pieces:
             n = len(word[d - 1].encode())
-            found.append((best[d - 1][0] + n * tokens.BYTE, -(best[d - 1][1] + n)))
+            found.append((best[d - 1][0] + n * (min(pieces.values()) + tokens.BYTE), -(best[d - 1][1] + n)))
         score, n = max(found)
         best.append((score, -n))
     return best[-1][1]
 
 
+@pytest.mark.parametrize("rounds,shared", [(0, 64), (1, 64), (3, 2)])
+def test_unigram_scores_against_all_segmentations(spark, rounds, shared, monkeypatch):
+    rng = random.Random(rounds)
+    monkeypatch.setattr(tokens, "SHARED", shared)
+    pieces = {p: -tokens.UNIT * (i + 1) // 3 for i, p in enumerate([tokens.SPACE, "a", "b", "ab", "ba", tokens.SPACE + "a", "aba", "bb", "never"])}
+    counts = Counter("".join(rng.choice("aabbé") for _ in range(rng.randint(1, 7))) for _ in range(150))
+    rows = [(w.encode(), n) for w, n in counts.items()]
+    got = tokens.fitted(spark.createDataFrame(rows, "word binary, n long").repartition(3), pieces, rounds)
+    for _ in range(rounds):
+        uses = Counter()
+        for w, n in counts.items():
+            ways = segmentations(tokens.SPACE + w, pieces)
+            share = [math.exp(x / tokens.UNIT) for x, _, _ in ways]
+            for p, (_, own, _) in zip(share, ways, strict=True):
+                for piece in own:
+                    uses[piece] += n * p / sum(share)
+        total = sum(uses.values()) + tokens.PRIOR * len(pieces)
+        pieces = {p: tokens.UNIT * math.log((uses[p] + tokens.PRIOR) / total) for p in pieces}
+    assert got.keys() == pieces.keys() and all(abs(got[p] - x) < 9 for p, x in pieces.items())
+    if rounds:
+        assert sum(math.exp(x / tokens.UNIT) for x in got.values()) == pytest.approx(1, abs=1e-5)
+    words = sorted(tokens.SPACE + w for w in counts)
+    best = [min((-x, n) for x, _, n in segmentations(w, got))[1] for w in words]
+    assert tokens.terminal_counts(words, got, 5) == best
+
+
 def test_token_counts(docs, rows, monkeypatch):
     path = queries.tokenizer("piece_bpe_32k.model")
-    pieces = tokens.vocabulary(path)
+    count = lambda t: [w.decode() for w in (t or "").encode().split()]
+    words = Counter(w for _, t in rows for w in count(t))
+    assert {(bytes(r.word).decode(), r.n) for r in tokens.distinct_words(docs).collect()} == set(words.items())
+    pieces = tokens.fitted(tokens.distinct_words(docs), tokens.vocabulary(path))
     monkeypatch.setattr(tokens, "TEXTS", 9)
     got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in tokens.counted(docs, path).collect())
-    count = lambda t: [w.decode() for w in (t or "").encode().split()]
     assert got == Counter((i, len(count(t)), sum(brute_count(tokens.SPACE + w, pieces) for w in count(t))) for i, t in rows)
 
 
+def test_a_word_of_a_megabyte_is_counted_whole(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "ab" * 500_000), (2, "ab ab"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_tokens > 0, r.n_bytes) for r in tokens.counted(df, path, rounds=1).collect()}
+    assert got == {1: (1, True, 1_000_000), 2: (2, True, 5), 3: (0, False, 0)}
+
+
 # --- 7 ------------------------------------------------------------------------
 
 

@@ -8,17 +8,25 @@ once for all words that share it, and its count is stored where a word ends.
 Sorting the distinct words walks that trie depth first, so only the path to the
 current word is held, and tasks add up their texts from the stored counts.
 
-Pieces are scored by their rank in the vocabulary (Zipf's law): the piece of
-rank r scores ``-ln(r + 2)``. A character without a piece falls back to its
-bytes, each at ``BYTE``. Of equal scores the fewer pieces win.
-
-Defined cases: null and wordless texts have no tokens; repeated rows each get a
-row; an empty table gives an empty result; other columns are ignored.
+The vocabulary is given and never changed; the pieces' log probabilities are
+fitted on the corpus by expectation maximisation. Its rounds need each distinct
+word only once, with its count: one pass over the texts counts words, and a
+round walks the sorted words as a trie of summed forward scores and adds up
+expected uses by piece, a row for each piece at most. Rounds start from ranks
+(Zipf's law), each piece is used ``PRIOR`` times more than seen. Scores are whole
+millionths, so that sums don't depend on their order. A character without a
+piece falls back to its bytes, each at ``BYTE`` below the least score. Of equal
+scores the fewer pieces win.
+
+Defined cases: null and wordless texts have no tokens; words of any length are
+taken whole; repeated rows each get a row, and count each in the fit; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,37 +34,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SPACE = "▁"
-BYTE = -16.0
+#: A score of one nat.
+UNIT = 1_000_000
+BYTE = -10 * UNIT
+ROUNDS, PRIOR = 3, 0.5
 REMEMBER = 300_000
 #: Texts whose new words enter the trie together.
 TEXTS = 2048
+#: Characters of a word whose pieces stay known for the words that follow.
+SHARED = 64
 
 
-def vocabulary(model: str) -> dict[str, float]:
-    """Scores of the ordinary pieces of a SentencePiece file."""
+def vocabulary(model: str) -> dict[str, int]:
+    """The ordinary pieces of a SentencePiece file with scores by rank."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    return {sp.id_to_piece(i): -math.log(rank + 2) for rank, i in enumerate(own)}
+    return {sp.id_to_piece(i): -round(UNIT * math.log(rank + 2)) for rank, i in enumerate(own)}
+
+
+def byte_score(pieces: dict[str, int]) -> int:
+    return min(pieces.values()) + BYTE
+
+
+def common_start(a: str, b: str) -> int:
+    depth, most = 0, min(len(a), len(b))
+    while depth < most and a[depth] == b[depth]:
+        depth += 1
+    return depth
+
 
+def size_in_bytes(char: str) -> int:
+    return len(char.encode("utf-8", "surrogatepass"))
 
-def terminal_counts(words: list[str], pieces: dict[str, float], longest: int) -> list[int]:
+
+def terminal_counts(words: list[str], pieces: dict[str, int], longest: int) -> list[int]:
     """The number of pieces of each word; ``words`` is sorted and distinct."""
-    score, count, out, last = [0.0], [0], [], ""
+    score, count, out, last, byte = [0], [0], [], "", byte_score(pieces)
     for word in words:
-        depth, most = 0, min(len(last), len(word))
-        while depth < most and last[depth] == word[depth]:
-            depth += 1
+        depth = common_start(last, word)
         del score[depth + 1 :], count[depth + 1 :]
         for d in range(depth + 1, len(word) + 1):
             one = word[d - 1]
             if one in pieces:
                 best, n = -math.inf, 0
             else:
-                size = len(one.encode("utf-8", "surrogatepass"))
-                best, n = score[d - 1] + size * BYTE, count[d - 1] + size
+                size = size_in_bytes(one)
+                best, n = score[d - 1] + size * byte, count[d - 1] + size
             for s in range(max(0, d - longest), d):
                 if (own := pieces.get(word[s:d])) is not None:
                     own += score[s]
@@ -69,12 +97,85 @@ def terminal_counts(words: list[str], pieces: dict[str, float], longest: int) ->
     return out
 
 
-def counted(docs: DataFrame, model: str) -> DataFrame:
+def expected_uses(words: list[str], counts: list[int], pieces: dict[str, int], longest: int) -> dict[str, float]:
+    """How often each piece is used in all segmentations of the words, weighted
+    by their probability; ``words`` is sorted and distinct."""
+    log_p, byte = {p: x / UNIT for p, x in pieces.items()}, byte_score(pieces) / UNIT
+
+    def ending(word: str, d: int) -> list[tuple[int, float, str | None]]:
+        own = [(s, x, word[s:d]) for s in range(max(0, d - longest), d) if (x := log_p.get(word[s:d])) is not None]
+        return own if word[d - 1] in log_p else [*own, (d - 1, size_in_bytes(word[d - 1]) * byte, None)]
+
+    uses: dict[str, float] = defaultdict(float)
+    forward, known, last = [0.0], [[]], ""  # known: what ends at the first places
+    for word, n in zip(words, counts, strict=True):
+        depth = common_start(last, word)
+        del forward[depth + 1 :], known[depth + 1 :]
+        for d in range(depth + 1, len(word) + 1):
+            own = ending(word, d)
+            parts = [forward[s] + x for s, x, _ in own]
+            top = max(parts)
+            forward.append(top + math.log(sum(math.exp(p - top) for p in parts)))
+            if d <= SHARED:
+                known.append(own)
+        # the words that pass a place, from the end to the start
+        passing = [0.0] * len(word) + [float(n)]
+        for d in range(len(word), 0, -1):
+            if here := passing[d]:
+                for s, x, piece in known[d] if d <= SHARED else ending(word, d):
+                    part = here * math.exp(forward[s] + x - forward[d])
+                    passing[s] += part
+                    if piece is not None:
+                        uses[piece] += part
+        last = word
+    return uses
+
+
+def text_of(word: bytes) -> str:
+    return SPACE + word.decode("utf-8", "surrogatepass")
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """(word, n): the words of all texts, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[bytes] = Counter()
+            for x in b["text"]:
+                seen.update((x.as_py() or "").encode("utf-8", "surrogatepass").split())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fitted(words: DataFrame, pieces: dict[str, int], rounds: int = ROUNDS) -> dict[str, int]:
+    """The pieces' scores after some rounds over a written table of ``words``."""
+    longest = max(map(len, pieces))
+    for _ in range(rounds):
+        now = pieces
+
+        def run(batches: Iterator[pa.RecordBatch], now: dict[str, int] = now) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = sorted((text_of(w), n) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True))
+                uses = expected_uses([w for w, _ in rows], [n for _, n in rows], now, longest)
+                yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], ["piece", "uses"])
+
+        sums = words.mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        uses = {r.piece: r.uses for r in sums.collect()}  # pieces of the vocabulary only
+        total = math.log(sum(uses.values()) + PRIOR * len(pieces))
+        pieces = {p: round(UNIT * (math.log(uses.get(p, 0.0) + PRIOR) - total)) for p in pieces}
+    return pieces
+
+
+def counted(docs: DataFrame, model: str, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_bytes) of each whole text."""
+    scratch = Scratch(docs.sparkSession, "tokens")
+    words = scratch.keep(distinct_words(docs).repartitionByRange("word").sortWithinPartitions("word"), "words")
+    pieces = fitted(words, vocabulary(model), rounds)
+    scratch.drop(words)
+    longest = max(map(len, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(model)
-        longest = max(map(len, pieces))
         known: dict[bytes, int] = {}
         for b in batches:
             rows = zip(b["doc_id"].to_pylist(), b["text"], strict=True)
@@ -82,7 +183,7 @@ def counted(docs: DataFrame, model: str) -> DataFrame:
                 texts = [data.split() for _, data in own]
                 if len(known) > REMEMBER:
                     known.clear()
-                new = sorted(SPACE + w.decode("utf-8", "surrogatepass") for w in set().union(*texts) if w not in known)
+                new = sorted(text_of(w) for w in set().union(*texts) if w not in known)
                 counts = terminal_counts(new, pieces, longest)
                 known.update((w[1:].encode("utf-8", "surrogatepass"), n) for w, n in zip(new, counts, strict=True))
                 sums = [sum(map(known.__getitem__, words)) for words in texts]
