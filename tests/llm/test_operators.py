@@ -632,10 +632,11 @@ def brute_count(word, pieces):
     return best[-1][1]
 
 
-@pytest.mark.parametrize("rounds,shared", [(0, 64), (1, 64), (3, 2)])
-def test_unigram_scores_against_all_segmentations(spark, rounds, shared, monkeypatch):
+@pytest.mark.parametrize("rounds,shared,long", [(0, 64, 3), (1, 64, 256), (3, 2, 4)])
+def test_unigram_scores_against_all_segmentations(spark, rounds, shared, long, monkeypatch):
     rng = random.Random(rounds)
     monkeypatch.setattr(tokens, "SHARED", shared)
+    monkeypatch.setattr(tokens, "LONG", long)
     pieces = {p: -tokens.UNIT * (i + 1) // 3 for i, p in enumerate([tokens.SPACE, "a", "b", "ab", "ba", tokens.SPACE + "a", "aba", "bb", "never"])}
     counts = Counter("".join(rng.choice("aabbé") for _ in range(rng.randint(1, 7))) for _ in range(150))
     rows = [(w.encode(), n) for w, n in counts.items()]
@@ -655,7 +656,7 @@ def test_unigram_scores_against_all_segmentations(spark, rounds, shared, monkeyp
         assert sum(math.exp(x / tokens.UNIT) for x in got.values()) == pytest.approx(1, abs=1e-5)
     words = sorted(tokens.SPACE + w for w in counts)
     best = [min((-x, n) for x, _, n in segmentations(w, got))[1] for w in words]
-    assert tokens.terminal_counts(words, got, 5) == best
+    assert tokens.terminal_counts(words, got, tokens.Pieces(got)) == best
 
 
 def test_token_counts(docs, rows, monkeypatch):

@@ -5,14 +5,17 @@ the highest total score. The forward score of a word's prefix depends on the
 prefix alone, so the distinct words of a task form a trie whose nodes hold the
 best score up to there and the number of pieces it takes; a node is computed
 once for all words that share it, and its count is stored where a word ends.
-Sorting the distinct words walks that trie depth first, so only the path to the
-current word is held, and tasks add up their texts from the stored counts.
+The trie of some thousand sorted words is built and scored level by level, all
+nodes of a level at once; words of more than ``LONG`` characters walk it depth
+first, where only the path to the current word is held. Tasks add up their texts
+from the stored counts.
 
 The vocabulary is given and never changed; the pieces' log probabilities are
 fitted on the corpus by expectation maximisation. Its rounds need each distinct
 word only once, with its count: one pass over the texts counts words, and a
-round walks the sorted words as a trie of summed forward scores and adds up
-expected uses by piece, a row for each piece at most. Rounds start from ranks
+round builds tries with summed forward scores of them, lets the counts flow back
+from the ends of words to the root, and adds up expected uses by piece, a row
+for each piece at most. Rounds start from ranks
 (Zipf's law), each piece is used ``PRIOR`` times more than seen. Scores are whole
 millionths, so that sums don't depend on their order. A character without a
 piece falls back to its bytes, each at ``BYTE`` below the least score. Of equal
@@ -30,6 +33,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,13 @@ ROUNDS, PRIOR = 3, 0.5
 REMEMBER = 300_000
 #: Texts whose new words enter the trie together.
 TEXTS = 2048
-#: Characters of a word whose pieces stay known for the words that follow.
+#: Words of a trie in a round of the fit.
+WORDS = 1 << 15
+#: Words of more characters walk the trie depth first.
+LONG = 256
+#: Characters of such a word whose pieces stay known for the words that follow.
 SHARED = 64
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def vocabulary(model: str) -> dict[str, int]:
@@ -72,8 +81,162 @@ def size_in_bytes(char: str) -> int:
     return len(char.encode("utf-8", "surrogatepass"))
 
 
-def terminal_counts(words: list[str], pieces: dict[str, int], longest: int) -> list[int]:
+def code_values(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, and a hash value of each."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = (codes.astype(np.uint64) + np.uint64(1)) * MIX
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return codes, x ^ (x >> np.uint64(29))
+
+
+class Pieces:
+    """The vocabulary in tables by length, looked up by the hash of characters."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.names, self.byte = list(pieces), byte_score(pieces)
+        self.score = np.array(list(pieces.values()), np.int64)
+        self.longest = max(map(len, self.names))
+        self.tables = {}
+        for size in {len(p) for p in self.names if p}:
+            own = np.array([i for i, p in enumerate(self.names) if len(p) == size])
+            values = code_values("".join(self.names[i] for i in own))[1].reshape(-1, size)
+            key = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                key = key * BASE + values[:, k]
+            order = np.argsort(key)
+            likely = np.zeros(1 << 18, bool)
+            likely[(key * MIX) >> np.uint64(46)] = True
+            self.tables[size] = key[order], own[order], likely
+
+    def found(self, size: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``key``, number of the piece) of the keys that are pieces."""
+        keys, own, likely = self.tables[size]
+        at = np.flatnonzero(likely[(key * MIX) >> np.uint64(46)])
+        k = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
+        ok = keys[k] == key[at]
+        return at[ok], own[k[ok]]
+
+
+class Level:
+    """The trie's nodes of one depth: their parents in the level before, hashes
+    of their prefixes, bytes of their last characters, and the words that end."""
+
+    def __init__(self, parent, key, size, ends, end_node):
+        self.parent, self.key, self.size, self.ends, self.end_node = parent, key, size, ends, end_node
+
+
+def trie(words: list[str]) -> Iterator[Level]:
+    """The levels of the trie of sorted distinct words, from depth 1."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(length) - length
+    codes, values = code_values("".join(words))
+    own, node, key, depth = np.arange(len(words)), np.zeros(len(words), np.int64), np.zeros(1, np.uint64), 0
+    while True:
+        left = length[own] > depth
+        own, node = own[left], node[left]
+        if not len(own):
+            return
+        at = first[own] + depth
+        depth += 1
+        new = np.concatenate([[True], (np.diff(node) != 0) | (np.diff(codes[at].astype(np.int64)) != 0)])
+        parent, c = node[new], codes[at[new]]
+        key = key[parent] * BASE + values[at[new]]
+        node = np.cumsum(new) - 1
+        done = length[own] == depth
+        yield Level(parent, key, 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF).astype(np.int64), own[done], node[done])
+
+
+def edges(levels: list[Level], own: Pieces) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(characters, nodes of the last level, nodes where the piece begins, piece)
+    for the pieces that end in the last of ``levels``, which starts at the root."""
+    last, power = levels[-1], np.ones(1, np.uint64)
+    begin = np.arange(len(last.key))
+    for size in range(1, min(own.longest, len(levels) - 1) + 1):
+        begin, power = levels[-size].parent[begin], power * BASE
+        if size in own.tables:
+            at, piece = own.found(size, last.key - levels[-size - 1].key[begin] * power)
+            if len(at):
+                yield size, at, begin[at], piece
+
+
+ROOT = Level(None, np.zeros(1, np.uint64), None, None, None)
+
+
+def counts_by_level(words: list[str], own: Pieces) -> np.ndarray:
+    out = np.zeros(len(words), np.int64)
+    levels, score, count = [ROOT], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for level in trie(words):
+        levels.append(level)
+        best, n = score[-1][level.parent] + level.size * own.byte, count[-1][level.parent] + level.size
+        for size, at, begin, piece in edges(levels, own):
+            x, k = score[-size][begin] + own.score[piece], count[-size][begin] + 1
+            ok = (x > best[at]) | ((x == best[at]) & (k < n[at]))
+            if size == 1:  # a character with a piece doesn't fall back
+                ok[:] = True
+            best[at[ok]], n[at[ok]] = x[ok], k[ok]
+        score.append(best)
+        count.append(n)
+        out[level.ends] = n[level.end_node]
+        if len(levels) > own.longest + 1:
+            del levels[0], score[0], count[0]
+    return out
+
+
+def uses_by_level(words: list[str], counts: np.ndarray, own: Pieces) -> np.ndarray:
+    log_p, byte = own.score / UNIT, own.byte / UNIT
+    levels, forward, ways, passing = [ROOT], [np.zeros(1)], [None], [np.zeros(1)]
+    for level in trie(words):
+        levels.append(level)
+        total = forward[-1][level.parent] + level.size * byte
+        found = list(edges(levels[-own.longest - 1 :], own))
+        bytes_at = np.ones(len(total), bool)
+        for size, at, begin, piece in found:
+            x = forward[-size][begin] + log_p[piece]
+            total[at] = x if size == 1 else np.logaddexp(total[at], x)
+            if size == 1:
+                bytes_at[at] = False
+        ends = np.zeros(len(total))
+        ends[level.end_node] = counts[level.ends]
+        forward.append(total)
+        ways.append((found, np.flatnonzero(bytes_at)))
+        passing.append(ends)
+    uses = np.zeros(len(own.names))
+    for d in range(len(levels) - 1, 0, -1):
+        found, at = ways[d]
+        begin = levels[d].parent[at]
+        for size, at, begin, piece in [(1, at, begin, None), *found]:
+            x = levels[d].size[at] * byte if piece is None else log_p[piece]
+            part = passing[d][at] * np.exp(forward[d - size][begin] + x - forward[d][at])
+            passing[d - size] += np.bincount(begin, part, len(passing[d - size]))
+            if piece is not None:
+                uses += np.bincount(piece, part, len(uses))
+    return uses
+
+
+def terminal_counts(words: list[str], pieces: dict[str, int], own: Pieces) -> list[int]:
     """The number of pieces of each word; ``words`` is sorted and distinct."""
+    short = [w for w in words if len(w) <= LONG]
+    found = dict(zip(short, counts_by_level(short, own).tolist(), strict=True)) if short else {}
+    long = [w for w in words if len(w) > LONG]
+    found.update(zip(long, walked_counts(long, pieces, own.longest), strict=True))
+    return [found[w] for w in words]
+
+
+def expected_uses(words: list[str], counts: list[int], pieces: dict[str, int], own: Pieces) -> dict[str, float]:
+    """How often each piece is used in all segmentations of the words, weighted
+    by their probability; ``words`` is sorted and distinct."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    uses = walked_uses([words[i] for i in long], [counts[i] for i in long], pieces, own.longest)
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    if short:
+        total = uses_by_level([words[i] for i in short], np.array([counts[i] for i in short], float), own)
+        for i in np.flatnonzero(total).tolist():
+            uses[own.names[i]] += float(total[i])
+    return uses
+
+
+def walked_counts(words: list[str], pieces: dict[str, int], longest: int) -> list[int]:
+    """``terminal_counts`` depth first."""
     score, count, out, last, byte = [0], [0], [], "", byte_score(pieces)
     for word in words:
         depth = common_start(last, word)
@@ -97,9 +260,8 @@ def terminal_counts(words: list[str], pieces: dict[str, int], longest: int) -> l
     return out
 
 
-def expected_uses(words: list[str], counts: list[int], pieces: dict[str, int], longest: int) -> dict[str, float]:
-    """How often each piece is used in all segmentations of the words, weighted
-    by their probability; ``words`` is sorted and distinct."""
+def walked_uses(words: list[str], counts: list[int], pieces: dict[str, int], longest: int) -> dict[str, float]:
+    """``expected_uses`` depth first."""
     log_p, byte = {p: x / UNIT for p, x in pieces.items()}, byte_score(pieces) / UNIT
 
     def ending(word: str, d: int) -> list[tuple[int, float, str | None]]:
@@ -150,14 +312,14 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
 def fitted(words: DataFrame, pieces: dict[str, int], rounds: int = ROUNDS) -> dict[str, int]:
     """The pieces' scores after some rounds over a written table of ``words``."""
-    longest = max(map(len, pieces))
     for _ in range(rounds):
         now = pieces
 
         def run(batches: Iterator[pa.RecordBatch], now: dict[str, int] = now) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = sorted((text_of(w), n) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True))
-                uses = expected_uses([w for w, _ in rows], [n for _, n in rows], now, longest)
+            own = Pieces(now)
+            rows = ((text_of(w), n) for b in batches for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True))
+            while some := sorted(islice(rows, WORDS)):
+                uses = expected_uses([w for w, _ in some], [n for _, n in some], now, own)
                 yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], ["piece", "uses"])
 
         sums = words.mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
@@ -173,10 +335,10 @@ def counted(docs: DataFrame, model: str, rounds: int = ROUNDS) -> DataFrame:
     words = scratch.keep(distinct_words(docs).repartitionByRange("word").sortWithinPartitions("word"), "words")
     pieces = fitted(words, vocabulary(model), rounds)
     scratch.drop(words)
-    longest = max(map(len, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        own_pieces = Pieces(pieces)
         for b in batches:
             rows = zip(b["doc_id"].to_pylist(), b["text"], strict=True)
             while own := [(doc, (x.as_py() or "").encode("utf-8", "surrogatepass")) for doc, x in islice(rows, TEXTS)]:
@@ -184,7 +346,7 @@ def counted(docs: DataFrame, model: str, rounds: int = ROUNDS) -> DataFrame:
                 if len(known) > REMEMBER:
                     known.clear()
                 new = sorted(text_of(w) for w in set().union(*texts) if w not in known)
-                counts = terminal_counts(new, pieces, longest)
+                counts = terminal_counts(new, pieces, own_pieces)
                 known.update((w[1:].encode("utf-8", "surrogatepass"), n) for w, n in zip(new, counts, strict=True))
                 sums = [sum(map(known.__getitem__, words)) for words in texts]
                 cols = [[doc for doc, _ in own], list(map(len, texts)), sums, [len(data) for _, data in own]]
