@@ -5,7 +5,7 @@ the highest total score. The forward score of a word's prefix depends on the
 prefix alone, so the distinct words of a task form a trie whose nodes hold the
 best score up to there and the number of pieces it takes; a node is computed
 once for all words that share it, and its count is stored where a word ends.
-The trie of some thousand sorted words is built and scored level by level, all
+The trie of a batch's new sorted words is built and scored level by level, all
 nodes of a level at once; words of more than ``LONG`` characters walk it depth
 first, where only the path to the current word is held. Tasks add up their texts
 from the stored counts.
@@ -29,12 +29,13 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,10 @@ SPACE = "▁"
 UNIT = 1_000_000
 BYTE = -10 * UNIT
 ROUNDS, PRIOR = 3, 0.5
-REMEMBER = 300_000
 #: Texts whose new words enter the trie together.
 TEXTS = 2048
+#: Words whose counts a task keeps.
+REMEMBER = 1_000_000
 #: Words of a trie in a round of the fit.
 WORDS = 1 << 15
 #: Words of more characters walk the trie depth first.
@@ -215,23 +217,27 @@ def uses_by_level(words: list[str], counts: np.ndarray, own: Pieces) -> np.ndarr
 
 def terminal_counts(words: list[str], pieces: dict[str, int], own: Pieces) -> list[int]:
     """The number of pieces of each word; ``words`` is sorted and distinct."""
-    short = [w for w in words if len(w) <= LONG]
-    found = dict(zip(short, counts_by_level(short, own).tolist(), strict=True)) if short else {}
-    long = [w for w in words if len(w) > LONG]
-    found.update(zip(long, walked_counts(long, pieces, own.longest), strict=True))
-    return [found[w] for w in words]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short, long = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
+    if not len(long):
+        return counts_by_level(words, own).tolist() if words else []
+    found = np.zeros(len(words), np.int64)
+    found[long] = walked_counts([words[i] for i in long], pieces, own.longest)
+    if len(short):
+        found[short] = counts_by_level([words[i] for i in short], own)
+    return found.tolist()
 
 
 def expected_uses(words: list[str], counts: list[int], pieces: dict[str, int], own: Pieces) -> dict[str, float]:
     """How often each piece is used in all segmentations of the words, weighted
     by their probability; ``words`` is sorted and distinct."""
-    long = [i for i, w in enumerate(words) if len(w) > LONG]
-    uses = walked_uses([words[i] for i in long], [counts[i] for i in long], pieces, own.longest)
-    short = [i for i, w in enumerate(words) if len(w) <= LONG]
-    if short:
-        total = uses_by_level([words[i] for i in short], np.array([counts[i] for i in short], float), own)
+    size, counts = np.fromiter(map(len, words), np.int64, len(words)), np.asarray(counts, float)
+    short, long = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
+    uses = walked_uses([words[i] for i in long], counts[long].tolist(), pieces, own.longest) if len(long) else {}
+    if len(short):
+        total = uses_by_level([words[i] for i in short] if len(long) else words, counts[short], own)
         for i in np.flatnonzero(total).tolist():
-            uses[own.names[i]] += float(total[i])
+            uses[own.names[i]] = uses.get(own.names[i], 0.0) + float(total[i])
     return uses
 
 
@@ -293,8 +299,20 @@ def walked_uses(words: list[str], counts: list[int], pieces: dict[str, int], lon
     return uses
 
 
-def text_of(word: bytes) -> str:
-    return SPACE + word.decode("utf-8", "surrogatepass")
+def texts_of(words: list[bytes]) -> list[str]:
+    """The words as characters with the mark of a space before each. A word has
+    no white space, so all are read in one go; the order of bytes is kept."""
+    if not words:
+        return []
+    return (SPACE + b"\n".join(words).decode("utf-8", "surrogatepass").replace("\n", "\n" + SPACE)).split("\n")
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each text's words begin (one place more than texts) and the words of
+    all, between ASCII white space; empty ones stand at such space's outside."""
+    parts = pc.ascii_split_whitespace(texts)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(parts), 0), np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), pc.list_flatten(parts).cast(pa.binary())
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
@@ -302,10 +320,9 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter[bytes] = Counter()
-            for x in b["text"]:
-                seen.update((x.as_py() or "").encode("utf-8", "surrogatepass").split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen = pc.value_counts(split(b["text"])[1])
+            own = pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["word", "n"])
+            yield own.filter(pc.greater(pc.binary_length(own["word"]), 0))
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -317,9 +334,10 @@ def fitted(words: DataFrame, pieces: dict[str, int], rounds: int = ROUNDS) -> di
 
         def run(batches: Iterator[pa.RecordBatch], now: dict[str, int] = now) -> Iterator[pa.RecordBatch]:
             own = Pieces(now)
-            rows = ((text_of(w), n) for b in batches for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True))
+            rows = (r for b in batches for r in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True))
             while some := sorted(islice(rows, WORDS)):
-                uses = expected_uses([w for w, _ in some], [n for _, n in some], now, own)
+                words, counts = zip(*some, strict=True)
+                uses = expected_uses(texts_of(words), counts, now, own)
                 yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], ["piece", "uses"])
 
         sums = words.mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
@@ -339,18 +357,21 @@ def counted(docs: DataFrame, model: str, rounds: int = ROUNDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         own_pieces = Pieces(pieces)
-        for b in batches:
-            rows = zip(b["doc_id"].to_pylist(), b["text"], strict=True)
-            while own := [(doc, (x.as_py() or "").encode("utf-8", "surrogatepass")) for doc, x in islice(rows, TEXTS)]:
-                texts = [data.split() for _, data in own]
-                if len(known) > REMEMBER:
-                    known.clear()
-                new = sorted(text_of(w) for w in set().union(*texts) if w not in known)
-                counts = terminal_counts(new, pieces, own_pieces)
-                known.update((w[1:].encode("utf-8", "surrogatepass"), n) for w, n in zip(new, counts, strict=True))
-                sums = [sum(map(known.__getitem__, words)) for words in texts]
-                cols = [[doc for doc, _ in own], list(map(len, texts)), sums, [len(data) for _, data in own]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "n_words", "n_tokens", "n_bytes"])
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
+            first, words = split(b["text"])
+            encoded = words.dictionary_encode()
+            own = encoded.dictionary.to_pylist()
+            if len(known) > REMEMBER:
+                known.clear()
+            known[b""] = 0
+            new = sorted(set(own).difference(known))
+            known.update(zip(new, terminal_counts(texts_of(new), pieces, own_pieces), strict=True))
+            counts = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+            real = np.fromiter(map(len, own), np.int64, len(own)) > 0
+            at = np.asarray(encoded.indices)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[first]) for x in (real, counts)]
+            size = pc.fill_null(pc.binary_length(b["text"]), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, sums), size], ["doc_id", "n_words", "n_tokens", "n_bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_bytes long")
