@@ -36,6 +36,16 @@ def test_cleaning(apply):
     assert got[7] == "soo good!!" and got[8] == "multiple spaces here" and got[9] == "uppercase and" and got[10:] == ["", "", ""]
 
 
+def test_repeats_of_a_raw_text_as_in_sql(apply):
+    import duckdb
+
+    from textloom.queries import oracle_text as O
+
+    texts = ["AAAA", "aaaa", "aAaA", "====", "----", "|||| x", "****", "1111", "ññññ", "ÑÑÑÑ", "no  run", "    ", "~~~~ bbbb", "a\n\n\n\n", "[[[[", "\\\\\\\\"]
+    found = duckdb.sql(f"SELECT {O.squeeze('text')} <> text FROM (SELECT unnest(?) AS text)", params=[texts]).fetchall()
+    assert apply(lambda x: T.cleaning_counts(x)["has_repeats"], *texts) == [int(x) for (x,) in found]
+
+
 def test_contractions(apply):
     got = apply(T.expand_contractions, "don't", "won't", "can't", "it's", "ain't", "let's", "Don't worry", "candy", "cant dont im youre", "o'clock", None)
     assert got == ["do not", "will not", "cannot", "it is", "am not", "let us", "Do not worry", "candy", "cannot do not i am you are", "of the clock", None]
