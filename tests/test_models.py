@@ -1,10 +1,12 @@
 """Grid search, parallel fits, one-scan scoring, normal distributions, places."""
 
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.operators import sampling
@@ -44,6 +46,55 @@ def test_grid_counts_equal_fold_by_fold_fits(spark, rows):
     assert max(scores, key=lambda r: (r.macro_f1, -r.c)).rank == 1
 
 
+def test_wide_rows_are_not_shuffled_for_a_split(spark, rows):
+    plan = models.parted(rows.select("id", "terms", "label"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # A line of the plan lies below a window if it comes later and is indented more.
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = [i for i, line in enumerate(plan) if line.lstrip(" :+-").startswith("Window")]
+    assert at
+    for i in at:
+        for line in plan[i + 1 :]:
+            if depth(line) <= depth(plan[i]) or "InMemoryRelation" in line:
+                break
+            assert "terms" not in line, line
+    got = {r.id: r.split for r in models.parted(rows).select("id", "split").collect()}
+    want = {}
+    for good in (True, False):
+        own = sorted((hashlib.md5(f"{models.SEED}:{i}".encode()).hexdigest(), i) for i in range(180) if (i % 3 > 0) == good)
+        a, b = int(len(own) * 0.6), int(len(own) * 0.2)
+        want |= {i: "train" if n < a else "validation" if n < a + b else "test" for n, (_, i) in enumerate(own)}
+    assert got == want
+
+
+def test_a_class_is_not_ranked_in_one_task(spark, rows):
+    import contextlib
+    import io
+
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("y", "term").count()
+    want = sorted({t for y in (0.0, 1.0) for _, t in sorted((-r["count"], r.term) for r in counts.where(F.col("y") == y).collect())[:1500]})
+    assert models.commonest(counts, 1500) == want and models.class_terms(rows, 1500) == want
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("count"), "term"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        counts.withColumn("r", rank).where("r <= 1500").explain()
+    assert "WindowGroupLimit" in out.getvalue()
+
+
+def test_zeroed_rows_do_not_travel_once_a_term(spark):
+    words = [f"w{i}" for i in range(1200)]
+    df = spark.createDataFrame([(i, words[i:] + words[: 3 * i], float(i % 2), "positive" if i % 2 else "negative") for i in range(8)], "id long, terms array<string>, y double, label string")
+    model = models.fit(df, "logistic_regression", features=1200)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("zeroed", "")
+    try:
+        got = {r.term: r.influence for r in models.zeroing_influence(model, df).collect()}
+        stages = {s for j in tracker.getJobIdsForGroup("zeroed") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        sc._jsc.clearJobGroup()
+    store = sc._jsc.sc().statusStore()
+    written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert len(got) == 1200 and written < 2_000_000, written
+
+
 def test_fits_overlap(rows):
     out = models.train_many(rows, rows, ("svm", "nothing", "naive_bayes", "logistic_regression"), features=30)
     assert [(r["algorithm"], r["status"]) for r in out] == [("svm", "ok"), ("nothing", "failed"), ("naive_bayes", "ok"), ("logistic_regression", "ok")]
