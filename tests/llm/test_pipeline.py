@@ -31,3 +31,27 @@ def test_stages(spark, sf_dir):
     run = corpus_pipeline.run(spark, sf_dir)
     key = lambda df: Counter((r.doc_id, r.piece, r.ids_crc32) for r in df.collect())
     assert key(run) == key(seen["best_fit_packing"])
+
+
+def test_no_pair_of_a_large_bucket_is_left_untested(spark, monkeypatch):
+    """All texts in one bucket, and no other way to meet: each text's partner must
+    be found although the turns compare a text with few others."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.llm import neardup
+
+    rng, texts = random.Random(3), []
+    for i in range(90):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [(i, " ".join(words)), (1000 + i, " ".join(words + ["more"]))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    sketches = neardup.sketches
+    monkeypatch.setattr(neardup, "REACH", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "sketches", lambda d, w: sketches(d, w).withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k, "node"))))
+    monkeypatch.setattr(neardup, "near_duplicates", lambda d, *_: d.select("doc_id", F.lit(0).alias("component_id").cast("long")))
+    got = {r.doc_id: r.component_id for r in neardup.similar(docs).collect()}
+    assert got == {i: i % 1000 for i, _ in texts}

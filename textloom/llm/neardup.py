@@ -38,8 +38,9 @@ CHUNK = 1 << 16
 #: Sub-fingerprints of a shingle set, and the least hashes that make one. A pair
 #: at similarity 0.8 shares none of them with a chance of 3 in a million.
 BANDS, LEAST = 32, 5
-#: Members of a bucket that each one is compared with in the later rounds.
-REACH = 32
+#: Members of a bucket that each one is compared with in the later rounds, and
+#: members of a block in the last round, which compares all blocks.
+REACH, BLOCK = 32, 64
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -234,6 +235,26 @@ def candidates(met: DataFrame, turn: int, least: float) -> DataFrame:
     return pairs.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
 
 
+def remaining(met: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of members of a bucket that are in different groups, of
+    the buckets that reach beyond ``REACH`` (in the others no pair is left).
+
+    Members are numbered by group and cut into blocks. Each pair of blocks is a
+    key of its own, so a task holds two blocks at a time and a large bucket is
+    dealt over all tasks; two blocks of one and the same group don't meet."""
+    bucket = Window.partitionBy("band", "key")
+    rows = met.withColumn("split", F.min("root").over(bucket) != F.max("root").over(bucket)).where("split")
+    rows = rows.withColumn("members", F.count("*").over(bucket)).where(F.col("members") > REACH + 1)
+    rows = rows.withColumn("block", F.floor((F.row_number().over(bucket.orderBy("root", "node")) - 1) / BLOCK))
+    cuts = rows.groupBy("band", "key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    left, right = (cuts.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi"))) for s in "xy")
+    meet = left.join(right, ["band", "key"]).where("block_x <= block_y and not (lo_x = hi_y)").select("band", "key", "block_x", "block_y")
+    one, two = (rows.select("band", "key", F.col("block").alias(f"block_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n"))) for s in "xy")
+    pairs = meet.join(one, ["band", "key", "block_x"]).join(two, ["band", "key", "block_y"])
+    pairs = pairs.where("root_x < root_y").where(F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y"))
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose shingle sets have a similarity of at least ``least``."""
 
@@ -256,7 +277,8 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 4
 
     Candidates share a sub-fingerprint of their shingles or a component of near
     SimHash fingerprints; every pair is verified on the whole sets. Turns go on
-    until one brings no link, so a group is met through other members too.
+    until one brings no link, so a group is met through other members too. What
+    the turns left apart in a bucket is then compared pair by pair, all of it.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     rows = scratch.keep(sketches(docs, width), "sketches")
@@ -271,10 +293,10 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 4
     sets = scratch.keep(shingle_sets(docs, wanted, width), "sets")
     links = tested = None
     roots = met.sparkSession.createDataFrame([], "node long, root long")
-    turn = 0
+    turn, last = 0, False
     while True:
         named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = candidates(named, turn, least)
+        pairs = remaining(named, least) if last else candidates(named, turn, least)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
@@ -284,8 +306,9 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 4
         any_new = not found.isEmpty()
         if any_new:
             roots = scratch.keep(components(links, scratch), "roots")
-        if turn and not any_new:
+        if last:
             break
+        last = turn > 0 and not any_new
         turn += 1
     labelled = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     groups = scratch.keep(labelled, "groups")
