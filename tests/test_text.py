@@ -106,3 +106,23 @@ def test_small_functions(apply):
     assert apply(T.dataset_name, "/data/raw/yelp/train.csv", "imdb.csv") == ["yelp", "imdb"]
     assert apply(K.ngrams, ["A", "b", "C"], ["x"], [], type_="array<string>") == [["a", "b", "c", "a b", "b c"], ["x"], []]
     assert apply(L.direction, 1.0, -1.0, 0.0, type_="double") == ["positive", "negative", "neutral"]
+
+
+def test_stopwords_alone_are_looked_up_in_phrases(spark):
+    """Costly steps of a token or a text are guarded: phrases behind stopwords,
+    scopes behind a trigger; the statistics clean a text once."""
+    from textloom.queries import QUERIES
+
+    df = spark.createDataFrame([(["x"],)], "x array<string>")
+    plan = df.select(K.remove_stopwords(F.col("x")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("yourselves") < plan.index("at best")
+    plan = df.select(K.negation_scope(F.col("x")))._jdf.queryExecution().analyzed().toString()
+    assert "array_contains" in plan
+    plan = QUERIES["op_preprocessing_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" url_token ") == 1
+
+
+def test_contractions_beside_cuts(apply):
+    texts = ["I don't.  thats, x'cause!\tYoure?", "don't", ". ", "a. ", "no. i'm\n; we'll. end", None, "it's.it's, it's"]
+    want = ["I do not.  that is, xbecause!\tYou are?", "do not", ". ", "a. ", "no. i am\n; we will. end", None, "it is.it is, it is"]
+    assert apply(T.expand_contractions, *texts) == want
