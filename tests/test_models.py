@@ -79,6 +79,37 @@ def test_a_class_is_not_ranked_in_one_task(spark, rows):
     assert "WindowGroupLimit" in out.getvalue()
 
 
+@pytest.mark.parametrize("features", [1, 7, 40, 10_000])
+def test_pairs_are_counted_among_common_words_alone(spark, features):
+    """The same terms as from a count of all words and pairs, ties included."""
+    rng, data = random.Random(5), []
+    for i in range(60):
+        words = [f"w{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randint(0, 12))] + ["a", "a"] * (i % 4)
+        data.append((i, words, "positive" if i % 3 else "negative", float(i % 3 > 0)))
+    rows = models.with_pairs(spark.createDataFrame(data, "id long, words array<string>, label string, y double"))
+    assert models.class_terms(rows, features) == models.class_terms(rows.drop("words"), features)
+    assert models.overall_terms(rows, features) == models.overall_terms(rows.drop("words"), features)
+    counts = {f"n{k}": F.count_if(F.col("id") % 3 != k) for k in range(3)}
+    fold = rows.withColumn("fold", (F.col("id") % 3).cast("int"))
+    counts = {n: F.count_if(F.col("fold") != k) for k, n in enumerate(counts)}
+    got, want = (models.term_counts(x, features, **counts) for x in (fold, fold.drop("words")))
+    for n in counts:
+        first = lambda df: models.commonest(df.select("y", "term", F.col(n).alias("count")).where("count > 0"), features)  # noqa: B023, E731
+        assert first(got) == first(want)
+    if features == 7:
+        assert got.count() < want.count() / 2
+
+
+def test_rows_are_written_by_part_without_a_sort(spark, rows):
+    with_words = rows.select("id", F.col("terms").alias("words"), F.when(F.col("id") % 5 < 3, "train").otherwise("test").alias("split"))
+    plans = lambda: str(spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription())
+    got = models.stored_by(with_words.repartition(3, "id"), "split", "t")
+    assert "Sort" not in plans() and "split" in plans()
+    key = lambda df: sorted((r.id, tuple(r.words), r.split) for r in df.collect())
+    assert key(got) == key(with_words) and got.columns == with_words.columns
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_zeroed_rows_do_not_travel_once_a_term(spark):
     words = [f"w{i}" for i in range(1200)]
     df = spark.createDataFrame([(i, words[i:] + words[: 3 * i], float(i % 2), "positive" if i % 2 else "negative") for i in range(8)], "id long, terms array<string>, y double, label string")
