@@ -126,3 +126,38 @@ def test_contractions_beside_cuts(apply):
     texts = ["I don't.  thats, x'cause!\tYoure?", "don't", ". ", "a. ", "no. i'm\n; we'll. end", None, "it's.it's, it's"]
     want = ["I do not.  that is, xbecause!\tYou are?", "do not", ". ", "a. ", "no. i am\n; we will. end", None, "it is.it is, it is"]
     assert apply(T.expand_contractions, *texts) == want
+
+
+def test_short_ways_of_tokens_and_types(apply):
+    """Plain words and texts without hyphens skip patterns; nothing else changes."""
+    import re
+
+    texts = ["plain words alone", "well-known x-y self-made-thing a-b, (c-d)", "it's 1,250 at 19.99 x_1 \u2028 wörd naïve-like", "word\u2028 w w. w", "a--b -- - non-stop non-stop.", "", None, "!!! ... A I"]
+
+    def valid(c):
+        low = c.lower()
+        return bool(re.fullmatch("[a-z]{2,}(-[a-z]{2,})+", low)) and (low.split("-")[0] in K.COMPOUND_FIRST or low.split("-")[-1] in K.COMPOUND_LAST or low.count("-") > 1)
+
+    def split(x):
+        words = []
+        for c in re.split(r"\s+", re.sub(rf"(?<![A-Za-z0-9_]){K.COMPOUND}(?![A-Za-z0-9_])", r" \g<0> ", x or ""), flags=re.A):
+            words += c.split("-") if re.fullmatch(K.COMPOUND, c) and not valid(c) else [c]
+        words = [w for w in words if w]
+        first = [t for w in words for t in ([w] if valid(w) else re.findall(K.TOKEN, w, re.A))]
+        return first + list(dict.fromkeys(w for w in words if re.search(r"\w", w, re.A) and w not in first))
+
+    assert apply(K.split_tokens, *texts) == [split(x) for x in texts]
+    given = ["word", "Wo_rd", "w", "7", "1,250", "it's", "''", "a-b", "a-b'", "--", "wörd", "x1", "x.", "_", "word\u2028"]
+    want = ["word", "word", "single_char", "number", "number", "contraction", "punctuation", "hyphenated", "other", "punctuation", "other", "word", "other", "punctuation", "other"]
+    got = apply(K.token_type, *given)
+    assert got[:-1] == want[:-1] and got[-1] in ("word", "other")
+
+
+def test_removable_words_give_the_lengths_of_all_lists(apply):
+    texts = ["at best the end", "so far as well as The so", "by the far", "not no doubt", "at", "", None, "no way by no means a an", "very so much so"]
+    names = ("basic", "extended", "minimal", "sentiment_aware")
+    tokens = lambda x: F.filter(F.split(F.lower(x), " "), lambda w: w != "")
+    for s in names:
+        want = apply(lambda x: F.size(K.remove_stopwords(tokens(x), s)), *texts)  # noqa: B023
+        got = apply(lambda x: F.size(tokens(x)) - F.size(F.filter(K.removable(tokens(x)), lambda w: K.is_stopword(w, s))), *texts)  # noqa: B023
+        assert got == want, s
