@@ -53,3 +53,36 @@ def test_copies_do_not_vouch_for_a_text(spark):
     assert rejected >= set(range(200, 320)) and len(rejected) <= 124
     distinct = [r.text for r in quality.distinct_texts(df.union(df.limit(4)), quality.Scratch(spark, "t")).collect()]
     assert sorted(distinct) == sorted(set(texts))
+
+
+def test_a_worker_keeps_one_operators_memory():
+    import sys as system
+
+    from textloom.llm.common import worker_memory
+
+    before = system.modules.pop("textloom_worker_memory", None)
+    try:
+        worker_memory("packing")["words"] = kept = [1]
+        assert worker_memory("packing")["words"] is kept
+        assert worker_memory("quality") == {} and worker_memory("packing") == {}
+    finally:
+        system.modules.pop("textloom_worker_memory", None)
+        if before:
+            system.modules["textloom_worker_memory"] = before
+
+
+def test_memory_of_the_texts_of_a_task():
+    """Codes of three million characters never lie in memory together."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(1000)]
+    quality.symbols()
+    tracemalloc.start()
+    for own in quality.pieces(iter(texts)):
+        np.unique(quality.coded(own)[0], return_inverse=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 << 20, most

@@ -190,7 +190,7 @@ class Aligned:
 
 
 def pair_of(a_file: str, b_file: str) -> Pair:
-    held = worker_memory()
+    held = worker_memory("alignment")
     if (key := ("pair", a_file, b_file)) not in held:
         held[key] = Pair(a_file, b_file)
     return held[key]

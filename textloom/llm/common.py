@@ -49,12 +49,17 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def worker_memory() -> dict:
-    """What a Python process keeps from task to task, by key.
+def worker_memory(owner: str) -> dict:
+    """What a Python process keeps from task to task for one operator, by key. A
+    process serves stage after stage, so the first task of another operator drops
+    what the former has left.
 
     Functions reach tasks by value, with module variables of their own, so a
     cache that is to outlive a task lies in a module made for it."""
-    return sys.modules.setdefault("textloom_worker_memory", types.ModuleType("textloom_worker_memory")).__dict__
+    held = sys.modules.setdefault("textloom_worker_memory", types.ModuleType("textloom_worker_memory")).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["kept"] = owner, {}
+    return held["kept"]
 
 
 class Scratch:

@@ -161,7 +161,7 @@ class Words:
 
 def words_of(tokenizer: str) -> Words:
     """One memory of words for all tasks of a Python worker."""
-    held = worker_memory()
+    held = worker_memory("packing")
     if (key := ("words", tokenizer)) not in held:
         held[key] = Words(tokenizer)
     return held[key]

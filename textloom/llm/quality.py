@@ -48,11 +48,11 @@ SYMBOLS = 1 << BITS
 SPACES = " \t\n\v\f\r"
 MARKS = "#*$%&|<>"
 #: Characters that are coded at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: log10 perplexity is binned at this many steps for the quartiles.
 STEPS = 1000
 #: Entries of a file of the model, and files that a worker holds open.
-SHARD, OPEN = 1 << 20, 16
+SHARD, OPEN = 1 << 19, 32
 #: log10 probability of a symbol that no text of the language holds.
 UNIFORM = -float(np.log10(SYMBOLS - 1))
 
@@ -60,7 +60,7 @@ UNIFORM = -float(np.log10(SYMBOLS - 1))
 def symbols() -> tuple[np.ndarray, np.ndarray]:
     """The symbol of each code point of sixteen bits (0 is the start mark), and
     which symbols are marks or white space."""
-    held = worker_memory()
+    held = worker_memory("quality")
     if "symbols" not in held:
         marks = np.array([unicodedata.category(chr(x))[0] in "PSZ" for x in range(SYMBOLS)])
         held["symbols"] = symbol_table(), marks
