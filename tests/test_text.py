@@ -1,5 +1,8 @@
 """Text fixtures: cleaning, tokens, negation, stopwords, labels."""
 
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +164,20 @@ def test_removable_words_give_the_lengths_of_all_lists(apply):
         want = apply(lambda x: F.size(K.remove_stopwords(tokens(x), s)), *texts)  # noqa: B023
         got = apply(lambda x: F.size(tokens(x)) - F.size(F.filter(K.removable(tokens(x)), lambda w: K.is_stopword(w, s))), *texts)  # noqa: B023
         assert got == want, s
+
+
+def test_texts_without_a_mark_skip_its_pattern(spark):
+    """What lets a text or a place be passed over changes no result."""
+    words = [x for x in T.contraction_dictionary() if x not in T.AFTER_WORD]
+    tree = re.compile(T.one_of(words))
+    near = {w[:i] + c + w[i + 1 :] for w in words for i in range(len(w)) for c in ("", "x", "'")} | {w + "s" for w in words}
+    assert {w for w in near | set(words) if tree.fullmatch(w)} == set(words)
+    assert "(" not in T.one_of(["a", "b"]) and T.GUARD.count("|") < 120
+    marks = ":;=8)]}>D({<[P^_3/"
+    for n in (1, 2, 3):
+        for own in map("".join, itertools.product(marks, repeat=n)):
+            for every, first in ((T.HAPPY, T.HAPPY_FIRST), (T.SAD, T.SAD_FIRST)):
+                assert not re.match(every, own) or re.match(first, own), own
+    for step, mark in ((T.url_token, "://"), (T.email_token, "@"), (T.mention_token, "@"), (T.hashtag_token, "#"), (T.strip_html, "<")):
+        plan = spark.createDataFrame([("a",)], "t string").select(step(F.col("t")))._jdf.queryExecution().analyzed().toString()
+        assert f"contains(lambda x_, {mark})" in re.sub(r"lambda x_?[\w#]*(?:[ ]*#\d+)?", "lambda x_", plan.lower()), (mark, plan)
