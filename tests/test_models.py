@@ -100,6 +100,25 @@ def test_pairs_are_counted_among_common_words_alone(spark, features):
         assert got.count() < want.count() / 2
 
 
+def test_pairs_below_the_bound_get_no_text(spark):
+    """Pairs are counted by numbers, and those that can't enter are not returned."""
+    rng = random.Random(6)
+    data = [(i, [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(30)], "positive" if i % 3 else "negative", float(i % 3 > 0)) for i in range(60)]
+    rows = spark.createDataFrame(data, "id long, words array<string>, label string, y double")
+    found = models.term_counts(rows, 6, count=F.count("*"))
+    got = {(r.y, r.term): r["count"] for r in found.collect()}
+    every = {}
+    for _, words, _, y in data:
+        for t in [*words, *map(" ".join, zip(words, words[1:]))]:  # noqa: B905
+            every[y, t] = every.get((y, t), 0) + 1
+    for y in (0.0, 1.0):
+        bound = sorted((n for (k, t), n in every.items() if k == y and " " not in t), reverse=True)[5]
+        assert {t: n for (k, t), n in got.items() if k == y} == {t: n for (k, t), n in every.items() if k == y and n >= bound}
+        assert any(" " in t and n < bound for (k, t), n in every.items() if k == y)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "keys=[first_code#" in plan and "keys=[y#" not in plan
+
+
 def test_rows_are_written_by_part_without_a_sort(spark, rows):
     with_words = rows.select("id", F.col("terms").alias("words"), F.when(F.col("id") % 5 < 3, "train").otherwise("test").alias("split"))
     plans = lambda: str(spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription())
