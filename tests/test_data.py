@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import adapters
 from textloom.operators import features, quality, sampling
 from textloom.sources import labeled, predictions
 
@@ -111,3 +112,20 @@ def test_mutual_information(spark):
     odd = spark.createDataFrame([(["b", None, "a", "b", ""],), (None,), ([],), (["b"],)], "terms array<string>")
     assert {r.term: (r.tf, r.df) for r in features.vocab_counts(odd, F.col("terms")).collect()} == {"a": (1, 1), "b": (3, 2)}
     assert vocab == {"a": (2, 2), "b": (2, 2), "c": (3, 3)}
+
+
+def test_texts_are_not_shuffled_to_meet_their_labels(spark, sf_dir, monkeypatch):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as where labels are beyond Spark's own limit
+    try:
+        plans, rows = [], []
+        for most in (adapters.NARROW, 0):
+            monkeypatch.setattr(adapters, "NARROW", most)
+            own = adapters.Tables(spark, sf_dir).samples
+            plans.append(own._jdf.queryExecution().sparkPlan().toString())
+            rows.append(sorted(map(tuple, own.collect())))
+    finally:
+        spark.conf.set(limit, before)
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+    assert rows[0] == rows[1] and rows[0]
