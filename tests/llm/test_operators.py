@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -302,6 +303,20 @@ def test_suffix_sort(docs, rows, depth, k, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
 
 
+def test_suffix_sort_keeps_finished_digits_from_the_disk(docs, rows, monkeypatch):
+    runs, written = [], []
+    make, keep = suffixes.Scratch.__init__, suffixes.Scratch.keep
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    monkeypatch.setattr(suffixes, "PARTS", 4)
+    monkeypatch.setattr(suffixes.Scratch, "__init__", lambda self, *a: (make(self, *a), runs.append(self))[0])
+    monkeypatch.setattr(suffixes.Scratch, "keep", lambda self, df, name: (written.append(name), keep(self, df, name))[1])
+    found = {r.doc_id: r.n_removed for r in suffixes.without_repeats(docs).collect() if r.doc_id is not None}
+    assert found == {i: r[1] for i, r in brute_repeats(rows, 50).items()}
+    assert written.count("marks") == 4  # no shuffle holds all windows
+    left = os.listdir(runs[0].root.removeprefix("file://"))
+    assert sorted(name.split("-", 1)[1] for name in left) == ["copies", "repeats"]
+
+
 # --- 4 ------------------------------------------------------------------------
 
 

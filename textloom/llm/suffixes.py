@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ from .hashing import BASE, VALUE, Powers, U, mixed
 
 #: Bytes of texts that are taken together.
 CHUNK = 1 << 19
-#: Rounds in which contexts are gathered, so that a round's shuffle stays small.
+#: Rounds in which contexts are gathered and windows judged, so that a round's
+#: shuffle stays small.
 PARTS = 3
 #: Low bits of an ordering value that hold the place of the gram.
 PLACE = U((1 << 24) - 1)
@@ -245,7 +247,9 @@ def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     hashed = scratch.keep(docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha")), "digests")
     first = hashed.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     found = hashed.join(first, "sha", "left").groupBy("doc").agg(F.min(F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).alias("copy"))
-    return found.where("copy").select("doc")
+    found = scratch.keep(found.where("copy").select("doc"), "copies")
+    scratch.drop(hashed)
+    return found
 
 
 def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
@@ -259,31 +263,41 @@ def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     scratch.drop(grams)
 
     any_of = [F.first(c).alias(c) for c in ("gram", "n", "at", "bytes")]  # alike in all rows of a context
-    least = None
+    least = []
     for part in range(PARTS):  # a part at a time, as the bytes travel here
         own = found.where(F.pmod(F.col("context"), F.lit(PARTS)) == part).groupBy("context")
-        own = scratch.keep(own.agg(F.min("doc").alias("least"), *any_of), "least")
-        least = own if least is None else least.unionByName(own)
+        least.append(scratch.keep(own.agg(F.min("doc").alias("least"), *any_of), "least"))
     runs = scratch.keep(found.select("context", "doc", "start", "n"), "runs")
     scratch.drop(found)
-    first = scratch.keep(shared(least, "gram").select("context", "least", "n", "at", "bytes"), "open")
+    first = scratch.keep(shared(reduce(DataFrame.unionByName, least), "gram").select("context", "least", "n", "at", "bytes"), "open")
 
-    sides = scratch.keep(halves(first, depth, k), "halves")
+    digit = scratch.keep(halves(first, depth, k), "halves")
     side = lambda i: F.max(F.col("side") == i)
-    sides = scratch.keep(shared(sides, "half").groupBy("context").agg(side(0).alias("left"), side(1).alias("right")), "sides")
+    sides = scratch.keep(shared(digit, "half").groupBy("context").agg(side(0).alias("left"), side(1).alias("right")), "sides")
+    scratch.drop(digit)
     edges = scratch.keep(windows(first.join(sides, "context"), depth, k), "windows")
     scratch.drop(first)
-    earlier = edges.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("last")).where("before < last")
+    scratch.drop(sides)
     bit = F.expr("shiftleft(1L, cast(i as int))")
-    marks = edges.join(earlier.select("window", "before"), "window").where("before < least")
-    marks = scratch.keep(marks.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks")
+    parts = []
+    for part in range(PARTS):  # windows of a part meet among themselves only
+        own = edges.where(F.pmod(F.col("window"), F.lit(PARTS)) == part)
+        earlier = own.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("last")).where("before < last")
+        own = own.join(earlier.select("window", "before"), "window").where("before < least")
+        parts.append(scratch.keep(own.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks"))
     scratch.drop(edges)
+    marks = reduce(DataFrame.unionByName, parts).groupBy("context").agg(F.bit_or("mark").alias("mark"))
 
-    known = scratch.keep(least.select("context", "least").join(marks, "context", "left"), "known")
+    known = scratch.keep(reduce(DataFrame.unionByName, least).select("context", "least").join(marks, "context", "left"), "known")
+    for own in (*least, *parts):
+        scratch.drop(own)
     whole = F.expr("shiftleft(1L, n) - 1")
     rows = runs.join(known, "context")
     rows = rows.withColumn("mask", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mark", F.lit(0))))
-    return scratch.keep(rows.where("mask <> 0").select("doc", "start", "mask"), "repeats")
+    out = scratch.keep(rows.where("mask <> 0").select("doc", "start", "mask"), "repeats")
+    scratch.drop(runs)
+    scratch.drop(known)
+    return out
 
 
 def removed(starts: np.ndarray, depth: int) -> list[tuple[int, int]]:
@@ -309,7 +323,7 @@ def without_repeats(docs: DataFrame, depth: int = 50, k: int = 20) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = rows.where("doc is not null")
-    whole = scratch.keep(copies(named, scratch), "copies")
+    whole = copies(named, scratch)
     found = repeats(named.join(whole, "doc", "left_anti"), scratch, depth, k)
     marks = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"), F.lit(False).alias("copy"))
     marks = marks.unionByName(whole.select("doc", F.lit(True).alias("copy")), allowMissingColumns=True)
