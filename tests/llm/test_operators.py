@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -307,16 +308,44 @@ def test_suffix_sort_keeps_finished_digits_from_the_disk(docs, rows, monkeypatch
     runs, written = [], []
     make, keep = suffixes.Scratch.__init__, suffixes.Scratch.keep
     monkeypatch.setattr(suffixes, "CHUNK", 700)
-    monkeypatch.setattr(suffixes, "PARTS", 4)
+    monkeypatch.setattr(suffixes, "SCANS", 2)
+    monkeypatch.setattr(suffixes, "PARTS", 2)
     monkeypatch.setattr(suffixes.Scratch, "__init__", lambda self, *a: (make(self, *a), runs.append(self))[0])
     monkeypatch.setattr(suffixes.Scratch, "keep", lambda self, df, name: (written.append(name), keep(self, df, name))[1])
     found = {r.doc_id: r.n_removed for r in suffixes.without_repeats(docs).collect() if r.doc_id is not None}
     assert found == {i: r[1] for i, r in brute_repeats(rows, 50).items()}
-    assert written.count("marks") == 4  # no shuffle holds all windows
+    assert written.count("marks") == 2  # no shuffle holds all windows
     left = os.listdir(runs[0].root.removeprefix("file://"))
     assert sorted(name.split("-", 1)[1] for name in left) == ["copies", "repeats"]
 
 
+def test_suffix_sort_of_near_copies_stays_small_on_disk(spark, monkeypatch):
+    """Where nearly all is shared, neither contexts nor windows pile up."""
+    rng, largest = random.Random(5), [0]
+    base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=12_000)) for _ in range(12)]
+    rows = [(1, base[0][:300]), (1, base[1][:90])]  # two rows of one document
+    for i in range(60):
+        t = list(base[i % 12])
+        for at in rng.sample(range(len(t)), 20):
+            t[at] = "#"
+        rows.append((i + 2, "".join(t)))
+    keep = suffixes.Scratch.keep
+
+    def watched(self, df, name):
+        out = keep(self, df, name)
+        at = Path(self.root.removeprefix("file://"))
+        largest[0] = max(largest[0], sum(f.stat().st_size for f in at.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(suffixes.Scratch, "keep", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats(rows, 50)
+    for r in suffixes.without_repeats(docs).collect():
+        assert r.doc_id == 1 or (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+    size = sum(len(t) for _, t in rows)
+    assert largest[0] < 1.5 * size, largest[0] / size
+
+
 # --- 4 ------------------------------------------------------------------------
 
 

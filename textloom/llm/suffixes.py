@@ -11,20 +11,22 @@ equal anchors at equal places, so comparing windows under one anchor loses none,
 and neighbouring windows mostly share theirs (some six anchors per hundred
 bytes). The digits are
 
-1. the anchor's k-gram: (gram, document) rows; grams of one document go;
+1. the anchor's k-gram: grams of one document go;
 2. the context, all bytes of the windows that share the anchor: where a smaller
    document has the same context, all its windows repeat; contexts that are
-   alone under their gram go;
+   alone under their gram go, and only of those that are left, once each, the
+   bytes are taken from the texts;
 3. the gram with half of the missing bytes to the left or to the right, one of
    which is inside each window: halves of one document go;
 4. the window itself, for the few contexts that are left (edges of passages).
 
 Whole copies of a smaller document are set aside first: all their windows
 repeat. Grams, contexts and windows are compared by 64-bit hashes, whole texts by
-SHA-256. A batch of texts sends two rows of a gram to be judged, of the least and
-of the largest of its documents that hold it, so a gram of very many documents is
-no large group; later digits are counted for distinct contexts, not for each copy,
-by grouped minima and maxima.
+SHA-256. Digits are judged by grouped minima and maxima of the documents, so a gram
+of very many documents is no large group; from the third on they are counted for
+distinct contexts, not for each copy. Windows of different grams never meet, so all
+digits go by parts of the grams, one after the other, which bounds what lies on
+disk even where all texts are shared.
 
 Defined cases: null and empty texts, and texts shorter than a window, keep all
 their bytes; texts of any length are taken ``CHUNK`` bytes at a time; a null doc_id is compared with nothing; rows that repeat a doc_id
@@ -40,17 +42,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .hashing import BASE, VALUE, Powers, U, mixed
+from .common import Scratch, looked_up
+from .hashing import BASE, VALUE, Powers, U, grouped, mixed
 
 #: Bytes of texts that are taken together.
 CHUNK = 1 << 19
-#: Rounds in which contexts are gathered and windows judged, so that a round's
-#: shuffle stays small.
-PARTS = 3
+#: Scans of the texts, each for its own grams, and rounds in which the grams of a
+#: scan are judged: no step holds or shuffles rows of all grams.
+SCANS, PARTS = 2, 2
+#: Open contexts whose bytes are taken together.
+OPEN = 1 << 12
 #: Low bits of an ordering value that hold the place of the gram.
 PLACE = U((1 << 24) - 1)
 
@@ -126,27 +130,24 @@ def laid(texts: pa.Array, depth: int, k: int, powers: Powers) -> Iterator[Piece]
         yield Piece(own, depth, k, powers)
 
 
-def gram_rows(docs: DataFrame, depth: int, k: int) -> DataFrame:
-    """(gram, doc, salt): the anchors' grams, once per document. Of the documents
-    of one group of texts that share a gram only the least and the largest have
-    salt 0; the others are known to share it."""
+def run_rows(docs: DataFrame, depth: int, k: int, scan: int) -> DataFrame:
+    """(gram, context, doc, place) for each run of windows whose anchor's gram is
+    of this scan; the place holds where the run starts in the text, how many
+    windows it has and where its anchor lies in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            ids = b["doc"].to_numpy(zero_copy_only=False)
+            (ids,) = numbers(b, "doc")
             for p in laid(b["text"], depth, k, powers):
-                gram, doc = p.gram, ids[p.doc[p.part]]
-                order = np.lexsort((doc, gram))
-                gram, doc = gram[order], doc[order]
-                other = np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(doc) != 0)])
-                gram, doc = gram[other], doc[other]
-                edge = np.concatenate([[True], np.diff(gram) != 0, [True]])
-                inner = ~(edge[:-1] | edge[1:])
-                salt = np.where(inner, (mixed(doc.view(U)) >> U(34)).astype(np.int32) + 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array(salt.astype(np.int32))], ["gram", "doc", "salt"])
+                hit = np.flatnonzero(p.gram.view(np.int64) % SCANS == scan)
+                start, end, anchor, part = p.start[hit], p.end[hit], p.anchor[hit], p.part[hit]
+                context = p.bytes.spans(start, end + depth - 1, anchor - start)
+                place = (p.first[part] + start - p.begin[part]) << 12 | (end - start) << 6 | (anchor - start)
+                cols = [p.gram[hit].view(np.int64), context.view(np.int64), ids[p.doc[part]], place]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["gram", "context", "doc", "place"])
 
-    return docs.mapInArrow(run, "gram long, doc long, salt int")
+    return docs.mapInArrow(run, "gram long, context long, doc long, place long")
 
 
 def taken(data: bytes, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -170,28 +171,36 @@ def numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b[n].to_numpy(zero_copy_only=False) for n in names]
 
 
-def context_rows(docs: DataFrame, depth: int, k: int) -> DataFrame:
-    """(gram, context, doc, start, n, at, bytes) for each run of windows whose
-    anchor's gram is in the document's list ``grams``."""
+def open_rows(docs: DataFrame, depth: int) -> DataFrame:
+    """(context, least, n, at, part, bytes) for the contexts in a document's
+    lists ``contexts``, ``places`` and ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        key = lambda gram, i: mixed(gram ^ mixed(i.astype(U) + U(1)))
         for b in batches:
             (ids,) = numbers(b, "doc")
-            lists = b["grams"]
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            wanted = np.sort(key(lists.flatten().to_numpy(zero_copy_only=False).view(U), np.repeat(np.arange(len(size)), size)))
-            for p in laid(b["text"], depth, k, powers):
-                own = key(p.gram, p.doc[p.part])
-                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own)
-                start, end, anchor, part = p.start[hit], p.end[hit], p.anchor[hit], p.part[hit]
-                stop = end + depth - 1
-                context = p.bytes.spans(start, stop, anchor - start)
-                cols = [p.gram[hit].view(np.int64), context.view(np.int64), ids[p.doc[part]], p.first[part] + start - p.begin[part], (end - start).astype(np.int32), (anchor - start).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), taken(p.raw, start, stop - start)], ["gram", "context", "doc", "start", "n", "at", "bytes"])
-
-    return docs.mapInArrow(run, "gram long, context long, doc long, start long, n int, at int, bytes binary")
+            contexts, places, parts = (b[c].flatten().to_numpy(zero_copy_only=False) for c in ("contexts", "places", "parts"))
+            upto = np.concatenate([[0], np.cumsum(b["places"].value_lengths().to_numpy(zero_copy_only=False))])
+            for first, own in grouped([raw(x.as_py()) for x in b["text"]], CHUNK):
+                data = b"".join(own)
+                size = np.array([len(x) for x in own], np.int64)
+                begin = np.cumsum(size) - size
+                for at in range(upto[first], upto[first + len(own)], OPEN):
+                    to = min(at + OPEN, upto[first + len(own)])
+                    context, one = np.unique(contexts[at:to], return_index=True)
+                    place, part = places[at:to][one], parts[at:to][one]
+                    of = np.searchsorted(upto, at + one, side="right") - 1 - first
+                    start, n, anchor = place >> 12, place >> 6 & 63, place & 63
+                    stop = start + n + depth - 1
+                    inside = np.flatnonzero(stop <= size[of])  # another row of the document may be shorter
+                    context, part, of, start, stop, n, anchor = (x[inside] for x in (context, part, of, start, stop, n, anchor))
+                    body = taken(data, begin[of] + start, stop - start)
+                    flat, offset = content(body)
+                    same = Bytes(flat, powers).spans(offset[:-1], offset[1:], anchor).view(np.int64) == context
+                    cols = [context, ids[first + of], n.astype(np.int32), anchor.astype(np.int32), part]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), body], ["context", "least", "n", "at", "part", "bytes"]).filter(pa.array(same))
+
+    return docs.mapInArrow(run, "context long, least long, n int, at int, part int, bytes binary")
 
 
 def halves(contexts: DataFrame, depth: int, k: int) -> DataFrame:
@@ -252,51 +261,58 @@ def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
+def judged(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, place, context): the runs that repeat as a whole, without a context,
+    and those that are the first of their context and may repeat in part. Rows of
+    a gram stand or fall by that gram's rows alone."""
+    several = runs.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("gram")
+    found = scratch.keep(runs.join(several, "gram"), "contexts")
+    least = scratch.keep(found.groupBy("context").agg(F.min("doc").alias("least"), F.min("gram").alias("gram")), "least")
+    several = least.groupBy("gram").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi")
+    known = least.join(several.select("gram", F.lit(True).alias("open")), "gram", "left").select("context", "least", "open")
+    rows = found.join(known, "context").where("doc > least or open")
+    out = scratch.keep(rows.select("doc", "place", F.expr("if(doc > least, null, context)").alias("context")), "judged")
+    scratch.drop(found)
+    scratch.drop(least)
+    return out
+
+
 def repeats(docs: DataFrame, scratch: Scratch, depth: int, k: int) -> DataFrame:
     """(doc, start, mask): bit i is set if the window at start + i also starts
     in a document with a smaller id. ``docs``: doc, text."""
-    own = Window.partitionBy("gram", "salt")
-    grams = gram_rows(docs, depth, k).withColumn("lo", F.min("doc").over(own)).withColumn("hi", F.max("doc").over(own))
-    grams = scratch.keep(grams.where("salt > 0 or lo < hi").select("gram", "doc"), "grams")
-    by_doc = grams.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
-    found = scratch.keep(context_rows(docs.join(by_doc, "doc"), depth, k), "contexts")
-    scratch.drop(grams)
-
-    any_of = [F.first(c).alias(c) for c in ("gram", "n", "at", "bytes")]  # alike in all rows of a context
-    least = []
-    for part in range(PARTS):  # a part at a time, as the bytes travel here
-        own = found.where(F.pmod(F.col("context"), F.lit(PARTS)) == part).groupBy("context")
-        least.append(scratch.keep(own.agg(F.min("doc").alias("least"), *any_of), "least"))
-    runs = scratch.keep(found.select("context", "doc", "start", "n"), "runs")
-    scratch.drop(found)
-    first = scratch.keep(shared(reduce(DataFrame.unionByName, least), "gram").select("context", "least", "n", "at", "bytes"), "open")
+    parts = []
+    for scan in range(SCANS):
+        runs = scratch.keep(run_rows(docs, depth, k, scan), "runs")
+        for part in range(PARTS):
+            parts.append(judged(runs.where(F.pmod(F.col("gram"), F.lit(SCANS * PARTS)) == scan + SCANS * part), scratch))
+        scratch.drop(runs)
+    rows = reduce(DataFrame.unionByName, (own.withColumn("part", F.lit(i % PARTS)) for i, own in enumerate(parts)))
+    whole, rest = rows.where("context is null"), rows.where("context is not null")
+    by_doc = rest.groupBy("doc").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("context", "place", "part")))
+    first = scratch.keep(open_rows(docs.join(by_doc, "doc"), depth), "open")
 
-    digit = scratch.keep(halves(first, depth, k), "halves")
+    bit = F.expr("shiftleft(1L, cast(i as int))")
     side = lambda i: F.max(F.col("side") == i)
-    sides = scratch.keep(shared(digit, "half").groupBy("context").agg(side(0).alias("left"), side(1).alias("right")), "sides")
-    scratch.drop(digit)
-    edges = scratch.keep(windows(first.join(sides, "context"), depth, k), "windows")
+    marks = []
+    for part in range(PARTS):
+        own = first.where(F.col("part") == part)
+        digit = scratch.keep(halves(own, depth, k), "halves")
+        sides = shared(digit, "half").groupBy("context").agg(side(0).alias("left"), side(1).alias("right"))
+        edges = scratch.keep(windows(own.join(sides, "context"), depth, k), "windows")
+        scratch.drop(digit)
+        earlier = edges.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("last")).where("before < last")
+        found = edges.join(earlier.select("window", "before"), "window").where("before < least")
+        marks.append(scratch.keep(found.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks"))
+        scratch.drop(edges)
     scratch.drop(first)
-    scratch.drop(sides)
-    bit = F.expr("shiftleft(1L, cast(i as int))")
-    parts = []
-    for part in range(PARTS):  # windows of a part meet among themselves only
-        own = edges.where(F.pmod(F.col("window"), F.lit(PARTS)) == part)
-        earlier = own.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("last")).where("before < last")
-        own = own.join(earlier.select("window", "before"), "window").where("before < least")
-        parts.append(scratch.keep(own.groupBy("context").agg(F.bit_or(bit).alias("mark")), "marks"))
-    scratch.drop(edges)
-    marks = reduce(DataFrame.unionByName, parts).groupBy("context").agg(F.bit_or("mark").alias("mark"))
-
-    known = scratch.keep(reduce(DataFrame.unionByName, least).select("context", "least").join(marks, "context", "left"), "known")
-    for own in (*least, *parts):
+    mark = reduce(DataFrame.unionByName, marks)
+
+    start = F.expr("shiftright(place, 12)").alias("start")
+    rows = whole.select("doc", start, F.expr("shiftleft(1L, cast(shiftright(place, 6) & 63 as int)) - 1").alias("mask"))
+    rows = rows.unionByName(rest.join(mark, "context").select("doc", start, F.col("mark").alias("mask")))
+    out = scratch.keep(rows, "repeats")
+    for own in (*parts, *marks):
         scratch.drop(own)
-    whole = F.expr("shiftleft(1L, n) - 1")
-    rows = runs.join(known, "context")
-    rows = rows.withColumn("mask", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.coalesce("mark", F.lit(0))))
-    out = scratch.keep(rows.where("mask <> 0").select("doc", "start", "mask"), "repeats")
-    scratch.drop(runs)
-    scratch.drop(known)
     return out
 
 
@@ -324,7 +340,7 @@ def without_repeats(docs: DataFrame, depth: int = 50, k: int = 20) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = rows.where("doc is not null")
     whole = copies(named, scratch)
-    found = repeats(named.join(whole, "doc", "left_anti"), scratch, depth, k)
+    found = repeats(looked_up(named, whole, "doc", "left_anti"), scratch, depth, k)
     marks = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"), F.lit(False).alias("copy"))
     marks = marks.unionByName(whole.select("doc", F.lit(True).alias("copy")), allowMissingColumns=True)
 
