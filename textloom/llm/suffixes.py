@@ -266,7 +266,9 @@ def judged(runs: DataFrame, scratch: Scratch) -> DataFrame:
     and those that are the first of their context and may repeat in part. Rows of
     a gram stand or fall by that gram's rows alone."""
     several = runs.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("gram")
+    several = scratch.keep(several, "grams")  # from a table, a hot gram's part of the join can be split
     found = scratch.keep(runs.join(several, "gram"), "contexts")
+    scratch.drop(several)
     least = scratch.keep(found.groupBy("context").agg(F.min("doc").alias("least"), F.min("gram").alias("gram")), "least")
     several = least.groupBy("gram").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi")
     known = least.join(several.select("gram", F.lit(True).alias("open")), "gram", "left").select("context", "least", "open")
